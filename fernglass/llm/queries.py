@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, language_id, ngram_join, token_count, url_filter, warc
+from . import bpe, decontam, embedding_dedup, language_id, ngram_join, token_count, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=2, threshold=60)
 
@@ -56,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_warc, op2_url_filter, op4_token_counts, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_byte_bpe)}
+QUERIES |= {f.__name__: f for f in (op1_warc, op2_url_filter, op4_token_counts, op6_embedding_near_dedup, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_byte_bpe)}
 
 ORACLE_SQL["op1_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -78,6 +82,14 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
 _WORDS8 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+ORACLE_SQL["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.v),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT v AS vec_id, (SELECT count(*) FROM l WHERE l.x = m.v) AS n_links, c AS component_id, v = c AS kept FROM m"""
+
 ORACLE_SQL["op7_ngram_jaccard_join"] = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS7} AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [array_to_string(w, ' ')]
