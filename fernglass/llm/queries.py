@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embedding_dedup, language_id, ngram_join, token_count, url_filter, warc
+from . import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, token_count, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,10 +35,21 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
 
 
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the text of all documents that are labelled as good."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    return cross_parsing.score(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.find_recurring(table(spark, sf_dir, "documents")))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -60,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_warc, op2_url_filter, op4_token_counts, op6_embedding_near_dedup, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_byte_bpe)}
+QUERIES |= {f.__name__: f for f in (op1_warc, op2_url_filter, op3_cross_parsing, op4_token_counts, op5_line_dedup, op6_embedding_near_dedup, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_byte_bpe)}
 
 ORACLE_SQL["op1_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
