@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._hot import without
 from ._store import materialize
 
 #: Words of benchmark text in one broadcast (about 60 bytes of index each).
@@ -250,7 +251,6 @@ def digest(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated; all columns stay."""
-    bad = contamination(docs, benchmark, id_col, text_col, window=window).where(is_contaminated(share)).select(F.col("doc_id").alias("__bad")).distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    """The rows of ``docs`` that aren't contaminated; all columns stay. A row with a null id stays."""
+    bad = contamination(docs, benchmark, id_col, text_col, window=window).where(is_contaminated(share)).select(F.col("doc_id").alias(id_col))
+    return without(docs, materialize(bad.where(F.col(id_col).isNotNull()).distinct(), "contaminated"), id_col)

@@ -36,13 +36,13 @@ from ._store import materialize
 #: Labelled rows of a language that the tables are fitted on, in expectation.
 SAMPLE_DOCS = 3000
 #: Words, and n-grams of one length, of all languages together.
-WORDS = 200_000
-GRAMS = 100_000
+WORDS = 120_000
+GRAMS = 60_000
 MAX_N = 5
 #: Subtracted, in natural-log units, from the rarest frequency for what a language lacks.
 PENALTY = 2.0
 #: Words that a worker's cache may hold (16 bytes a language each).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Characters of a word that are scored as such; a longer run of letters is scored by pieces of this length.
 WORD_CHARS = 64
 
@@ -68,22 +68,24 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language."""
+    """Log frequencies by language: rows of one matrix, found by word and by n-gram."""
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # by length, from 1
+    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    words: dict[str, int] = field(default_factory=dict)
+    grams: list[dict[str, int]] = field(default_factory=list)  # by length, from 1
 
     def score(self, word: str) -> np.ndarray:
         """A word's log likelihood in every language."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.scores[known]
         for n in range(len(self.grams), 0, -1):
             table = self.grams[n - 1]
-            found = [table[g] for g in grams_of(word, n) if g in table]
+            edged = f" {word} "
+            found = [table[g] for i in range(len(edged) - n + 1) if (g := edged[i : i + n]) in table]
             if found:
-                return np.mean(found, axis=0)
+                return self.scores[found].sum(axis=0) / len(found)
         return np.zeros(len(self.langs))
 
 
@@ -169,18 +171,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     kept = counts.where("c > 1").withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "n", "gram", "c")
     place = {k: i for i, k in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(max_n + 1)]
     floor = np.zeros((max_n + 1, len(langs)))
     for (lang, n), total in totals.items():
         floor[n, place[lang]] = -np.log(total) - PENALTY
     low = floor.min(axis=1)
-    for r in kept.collect():  # at most words + max_n * grams rows
-        table = tables[r["n"]]
-        v = table.get(r["gram"])
-        if v is None:
-            v = table[r["gram"]] = np.full(len(langs), low[r["n"]])
-        v[place[r["lang"]]] = np.log(r["c"] / totals[r["lang"], r["n"]])
-    return Model(langs, tables[0], tables[1:])
+    tables: list[dict[str, int]] = [{} for _ in range(max_n + 1)]
+    found = kept.toArrow()  # at most words + max_n * grams rows
+    scores = np.empty((found.num_rows, len(langs)))
+    at = 0
+    for batch in found.to_batches():
+        for lang, n, gram, c in zip(*(column.to_pylist() for column in batch.columns)):
+            i = tables[n].get(gram)
+            if i is None:
+                i = tables[n][gram] = at
+                scores[i] = low[n]
+                at += 1
+            scores[i, place[lang]] = np.log(c / totals[lang, n])
+    return Model(langs, scores[:at].copy(), tables[0], tables[1:])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import _words as W
+from ._hot import join_by_count, without
 from ._store import materialize, shuffle_partitions, size_in_bytes
 from .components import connected_components, star_forest
 
@@ -367,14 +368,6 @@ def _tiles(threshold: int):
     return run
 
 
-def _by_class(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with classes, whose ``mult`` counts their members: the few classes of at least a
-    thousandth of all members (so at most a thousand of them) are broadcast, the others shuffle."""
-    hot = F.broadcast(classes.where(F.col("mult") * 1000 >= total))
-    cold = classes.where(F.col("mult") * 1000 < total)
-    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: int = 60, broadcast_ids: int = BROADCAST_IDS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id of every document, for a Jaccard threshold in per cent.
 
@@ -429,12 +422,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = connected_components(linked.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     answers = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     answers = answers.select(*keys, "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"))
-    found = _by_class(members, answers, keys, total).select("doc_id", "n_similar", "component_id")
+    found = join_by_count(members, answers, keys, "mult", total).select("doc_id", "n_similar", "component_id")
     return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: int = 60) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest doc_id of its component; all columns stay."""
-    found = jaccard_groups(docs, id_col, text_col, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(found, "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = jaccard_groups(docs, id_col, text_col, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    return without(docs, materialize(found.distinct(), "gone"), id_col)
