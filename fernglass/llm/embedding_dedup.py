@@ -42,6 +42,8 @@ CELL_ROWS = 8192
 BLOCK = 256
 #: Dimensions whose products are summed at once in single precision.
 EXACT_DIMS = 1024
+#: The side of a cell that meets itself.
+SELF = 2
 #: Rounding of double-precision products, far above it.
 ROUND = 1e-9
 
@@ -114,12 +116,14 @@ def _tile(threshold: float):
         side = t.column("side").to_numpy()
         v = _matrix(t.column("v").combine_chunks())
         rep, mult = t.column("rep").to_numpy(), t.column("mult").to_numpy()
-        same = not (side == 1).any()
-        where = [np.flatnonzero(side == s) for s in ((0, 0) if same else (0, 1))]
-        a = Quantised(v[where[0]])
-        b = a if same else Quantised(v[where[1]])
+        same = bool((side == SELF).any())
+        where = [np.flatnonzero(side == s) for s in ((SELF, SELF) if same else (0, 1))]
+        if not len(where[0]) or not len(where[1]):  # the other cell is empty
+            where = [where[0][:0], where[1][:0]]
         n, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for i, j in links(a, b, threshold, same):
+        a = Quantised(v[where[0]]) if len(where[0]) else None
+        b = a if same or a is None else Quantised(v[where[1]])
+        for i, j in links(a, b, threshold, same) if a is not None else ():
             i, j = where[0][i], where[1][j]
             np.add.at(n, i, mult[j])
             np.add.at(n, j, mult[i])
@@ -190,6 +194,6 @@ def _tiles_of(reps: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     cells = parts.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     meets = cells.alias("a").join(cells.alias("b"), "group").where("b.part >= a.part").select("group", F.col("a.part").alias("p1"), F.col("b.part").alias("p2"))
     tile = F.xxhash64("group", "p1", "p2")
-    left = meets.select("group", F.col("p1").alias("part"), tile.alias("tile"), F.lit(0).alias("side"))
+    left = meets.select("group", F.col("p1").alias("part"), tile.alias("tile"), F.when(F.col("p1") == F.col("p2"), F.lit(SELF)).otherwise(F.lit(0)).alias("side"))
     right = meets.where("p1 <> p2").select("group", F.col("p2").alias("part"), tile.alias("tile"), F.lit(1).alias("side"))
     return placed.join(left.unionByName(right), ["group", "part"]).select("tile", "side", "rep", "mult", "v")

@@ -191,7 +191,7 @@ def _edit(ids: np.ndarray, null: np.ndarray, batch: pa.RecordBatch, column: int,
     return texts, n_lines, n_rec, n_gone
 
 
-def _judge_broadcast(known, columns: int, column: int, counts: bool):
+def _judge_broadcast(known, columns: int, column: int, counts: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k: _Known = known.value
         for batch in batches:
@@ -200,20 +200,18 @@ def _judge_broadcast(known, columns: int, column: int, counts: bool):
     return run
 
 
-def _rewritten(batch: pa.RecordBatch, columns: int, column: int, counts: bool, goes_of) -> pa.RecordBatch:
+def _rewritten(batch: pa.RecordBatch, columns: int, column: int, counts: tuple[str, str, str], goes_of) -> pa.RecordBatch:
     key = batch.column(columns)
     null = key.is_null().to_numpy(zero_copy_only=False)
     ids = key.fill_null(0).to_numpy(zero_copy_only=False)
     texts, n, r, g = _edit(ids, null, batch, column, goes_of)
     cols = [batch.column(i) if i != column else pa.array(texts, pa.string()) for i in range(columns)]
     names = batch.schema.names[:columns]
-    if counts:
-        cols += [pa.array(x, pa.int64()) for x in (n, r, g)]
-        names = [*names, "n_lines", "n_recurring", "n_dropped"]
-    return pa.RecordBatch.from_arrays(cols, names=names)
+    cols += [pa.array(x, pa.int64()) for x in (n, r, g)]
+    return pa.RecordBatch.from_arrays(cols, names=[*names, *counts])
 
 
-def _judge_joined(columns: int, column: int, counts: bool):
+def _judge_joined(columns: int, column: int, counts: tuple[str, str, str]):
     """The last columns are the row's key and what a shuffle found of its lines: (line * 2 + does it go)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +241,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids[lo:hi][row[line]]), pa.array(line - begin[row[line]]), pa.array(key.view(np.int64))], names=["doc_id", "line", "template"])
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: bool, broadcast_templates: int) -> DataFrame:
+def _fresh(name: str, columns: list[str]) -> str:
+    """A column name that isn't taken yet."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str, str], broadcast_templates: int) -> DataFrame:
+    """``docs`` with new texts, and columns named by ``counts``: lines, recurring and dropped ones."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = materialize(recurring_templates(rows), "templates")
     width, column = len(docs.columns), docs.columns.index(text_col)
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString() if f.name != text_col else 'string'}" for f in docs.schema.fields]
-    schema = ", ".join([*fields, *(f"{c} long" for c in ("n_lines", "n_recurring", "n_dropped") if counts)])
-    keyed = docs.select(*docs.columns, F.col(id_col).cast("long").alias("__key"))
+    schema = ", ".join([*fields, *(f"`{c}` long" for c in counts)])
+    key, ident, marks_col = (_fresh(c, docs.columns) for c in ("__key", "__id", "__marks"))
+    keyed = docs.withColumn(key, F.col(id_col).cast("long"))
     if known.count() <= broadcast_templates:
         t = known.select("template", "first").toArrow()
         shared = spark.sparkContext.broadcast(_Known(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)))
@@ -258,22 +265,23 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: bool, broadcas
     lines = materialize(rows.where("doc_id is not null").mapInArrow(_lines, "doc_id long, line long, template long"), "lines")
     hits = join_by_count(lines, known, ["template"], "lines", lines.count())
     marks = hits.select("doc_id", (F.col("line") * 2 + (F.col("first") != F.col("doc_id")).cast("long")).alias("mark"))
-    marks = materialize(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("__marks")).withColumnRenamed("doc_id", "__id"), "marks")  # at most two a line of a document
-    joined = keyed.join(marks, F.col("__key") == F.col("__id"), "left").select(*docs.columns, "__key", "__marks")
+    marks = materialize(marks.groupBy("doc_id").agg(F.collect_set("mark").alias(marks_col)).withColumnRenamed("doc_id", ident), "marks")  # at most two a line of a document
+    joined = keyed.join(marks, F.col(key) == F.col(ident), "left").drop(ident)
     return joined.mapInArrow(_judge_joined(width, column, counts), schema)
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """``docs`` with recurring lines taken from the texts; a row that had text and has none left goes."""
-    clean = _cleaned(docs, id_col, text_col, True, broadcast_templates)
+    counts = tuple(_fresh(c, docs.columns) for c in ("n_lines", "n_recurring", "n_dropped"))
+    clean = _cleaned(docs, id_col, text_col, counts, broadcast_templates)
     left = F.coalesce(F.length(F.regexp_replace(F.col(text_col), r"[ \t\n\r\x0b\f]", "")) > 0, F.lit(False))
-    return clean.where(left | (F.col("n_dropped") == 0)).select(*docs.columns)
+    return clean.where(left | (F.col(counts[2]) == 0)).select(*docs.columns)
 
 
 def find_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """doc_id, text (without recurring lines), n_lines, n_recurring, n_dropped of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _cleaned(rows, "doc_id", "text", True, broadcast_templates)
+    return _cleaned(rows, "doc_id", "text", ("n_lines", "n_recurring", "n_dropped"), broadcast_templates)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -51,6 +51,8 @@ RANGE_BYTES = 16 << 20
 CELL_SHINGLES = 3_000_000
 #: Ids that a broadcast may hold (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
+#: The side of a cell that meets itself.
+SELF = 2
 #: Sets whose lists share one range of positions.
 BLOCK = 64
 
@@ -346,8 +348,10 @@ def tile_links(left: _Cell, right: _Cell, threshold: int, same: bool) -> tuple[n
 
 def _tiles(threshold: int):
     def done(rows: list[dict]) -> pa.RecordBatch:
-        sides = [_Cell([(r["rep"], r["mult"], r["grams"]) for r in rows if r["side"] == s]) for s in (0, 1) if any(r["side"] == s for r in rows)]
-        same = len(sides) == 1
+        sides = [_Cell([(r["rep"], r["mult"], r["grams"]) for r in rows if r["side"] == s]) for s in (0, 1, SELF) if any(r["side"] == s for r in rows)]
+        same = rows[0]["side"] == SELF
+        if not same and len(sides) == 1:  # the other cell is empty
+            return pa.record_batch([pa.array([], pa.int64())] * 3, names=["rep", "links", "root"])
         left, right = sides[0], sides[-1]
         count_l, count_r, label = tile_links(left, right, threshold, same)
         rep = left.rep if same else np.concatenate([left.rep, right.rep])
@@ -411,9 +415,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a, b = cells.select("family", F.col("band").alias("b1"), F.col("part").alias("p1")), cells.select("family", F.col("band").alias("b2"), F.col("part").alias("p2"))
     meets = a.join(b, "family").where("b2 - b1 in (0, 1) and (b2 > b1 or p2 >= p1)")
     tile = F.xxhash64("family", "b1", "p1", "b2", "p2")
-    first = meets.select("family", F.col("b1").alias("band"), F.col("p1").alias("part"), tile.alias("tile"), F.lit(0).alias("side"))
+    first = meets.select("family", F.col("b1").alias("band"), F.col("p1").alias("part"), tile.alias("tile"), F.when((F.col("b1") == F.col("b2")) & (F.col("p1") == F.col("p2")), F.lit(SELF)).otherwise(F.lit(0)).alias("side"))
     second = meets.where("b1 <> b2 or p1 <> p2").select("family", F.col("b2").alias("band"), F.col("p2").alias("part"), tile.alias("tile"), F.lit(1).alias("side"))
-    small = placed.join(loads, ["family", "band"], "left_anti").select(F.xxhash64("family").alias("tile"), F.lit(0).alias("side"), "rep", "mult", "n", "grams")
+    small = placed.join(loads, ["family", "band"], "left_anti").select(F.xxhash64("family").alias("tile"), F.lit(SELF).alias("side"), "rep", "mult", "n", "grams")
     large = placed.join(first.unionByName(second), ["family", "band", "part"]).select("tile", "side", "rep", "mult", "n", "grams")
     tiles = small.unionByName(large).repartition("tile").sortWithinPartitions("tile")
     linked = materialize(tiles.select("tile", "side", "rep", "mult", "grams").mapInArrow(_tiles(threshold), "rep long, links long, root long"), "linked")
