@@ -15,7 +15,8 @@ line don't depend on the order or partitioning of rows.
 
 Recurring templates are few beside all lines; up to ``BROADCAST_TEMPLATES`` they are
 broadcast and lines are judged where they are read. Beyond, lines and templates are
-joined by a shuffle (a template with a thousandth of all lines is broadcast).
+joined by a shuffle (a template with a thousandth of all lines is broadcast), and what
+is found goes back to its rows by doc_id and 128 bits of the text's hashes.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased. Lines end with a
 line feed; lines without tokens are kept, and belong to no template.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -238,7 +239,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in _chunks(batch, 1):
             _, row, line, key = templates(data, offsets)
             begin = np.searchsorted(row, np.arange(hi - lo))
-            yield pa.record_batch([pa.array(ids[lo:hi][row[line]]), pa.array(line - begin[row[line]]), pa.array(key.view(np.int64))], names=["doc_id", "line", "template"])
+            h1, h2 = (batch.column(i).to_numpy()[lo:hi][row[line]] for i in (2, 3))
+            yield pa.record_batch([pa.array(ids[lo:hi][row[line]]), pa.array(h1), pa.array(h2), pa.array(line - begin[row[line]]), pa.array(key.view(np.int64))], names=["doc_id", "h1", "h2", "line", "template"])
+
+
+def _text_hashes(text_col: str) -> tuple[Column, Column]:
+    """Two hashes that, with its doc_id, tell a row from all rows of another text."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(text), F.xxhash64(F.lit("line dedup"), text)
 
 
 def _fresh(name: str, columns: list[str]) -> str:
@@ -262,11 +270,16 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str
         t = known.select("template", "first").toArrow()
         shared = spark.sparkContext.broadcast(_Known(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)))
         return keyed.mapInArrow(_judge_broadcast(shared, width, column, counts), schema)
-    lines = materialize(rows.where("doc_id is not null").mapInArrow(_lines, "doc_id long, line long, template long"), "lines")
+    h1, h2 = _text_hashes("text")
+    hashed = rows.where("doc_id is not null").select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
+    lines = materialize(hashed.mapInArrow(_lines, "doc_id long, h1 long, h2 long, line long, template long"), "lines")
     hits = join_by_count(lines, known, ["template"], "lines", lines.count())
-    marks = hits.select("doc_id", (F.col("line") * 2 + (F.col("first") != F.col("doc_id")).cast("long")).alias("mark"))
-    marks = materialize(marks.groupBy("doc_id").agg(F.collect_set("mark").alias(marks_col)).withColumnRenamed("doc_id", ident), "marks")  # at most two a line of a document
-    joined = keyed.join(marks, F.col(key) == F.col(ident), "left").drop(ident)
+    marks = hits.select("doc_id", "h1", "h2", (F.col("line") * 2 + (F.col("first") != F.col("doc_id")).cast("long")).alias("mark"))
+    m1, m2 = (_fresh(c, docs.columns) for c in ("__h1", "__h2"))
+    found = marks.groupBy("doc_id", "h1", "h2").agg(F.collect_set("mark").alias(marks_col))  # at most two a line of a text
+    marks = materialize(found.select(F.col("doc_id").alias(ident), F.col("h1").alias(m1), F.col("h2").alias(m2), marks_col), "marks")
+    h1, h2 = _text_hashes(text_col)
+    joined = keyed.join(marks, (F.col(key) == F.col(ident)) & (h1 == F.col(m1)) & (h2 == F.col(m2)), "left").drop(ident, m1, m2)
     return joined.mapInArrow(_judge_joined(width, column, counts), schema)
 
 

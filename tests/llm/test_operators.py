@@ -229,6 +229,14 @@ def test_line_dedup(spark):
     assert line_dedup.find_recurring(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 20, 0])
+def test_line_dedup_of_an_id_with_two_texts(spark, size):
+    rows = [(1, "same line\nonly one"), (2, "aa\nbb\ncc\ndd\nsame line"), (2, "x y"), (2, "same line\nq r"), (2, "x y"), (3, "clean text\nof three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = [(1, rows[0][1], 2, 1, 0), (2, "aa\nbb\ncc\ndd", 5, 1, 1), (2, "x y", 1, 0, 0), (2, "q r", 2, 1, 1), (2, "x y", 1, 0, 0), (3, rows[5][1], 2, 0, 0)]
+    assert sorted(tuple(r) for r in line_dedup.find_recurring(docs, broadcast_templates=size).collect()) == sorted(want)
+
+
 # -- 6 --------------------------------------------------------------------------------
 
 
