@@ -15,7 +15,9 @@ any window. The join goes:
 5. the rest are verified over the whole window, word by word.
 
 Benchmark tables beyond ``CHUNK_WORDS`` words are split by item into chunks of that
-size, joined one after the other, so what is broadcast never exceeds the bound.
+size, joined one after the other, so what is broadcast never exceeds the bound. What
+the chunks find is merged by doc_id and 128 bits of the text's hashes, and given back
+as often as that row occurs.
 
 Defined cases: a null or word-less text has n_words 0 and no hits; a null or
 word-less item has no window; equal items all count; a repeated item_id is one item
@@ -185,8 +187,8 @@ def _match(index, spans: bool):
                 where += runs
             cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
             if spans:
-                cols.append(pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-            yield pa.record_batch(cols, names=["doc_id", "n_words", "n_hit", "items", "spans"][: len(cols)])
+                cols += [pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(2), batch.column(3)]
+            yield pa.record_batch(cols, names=["doc_id", "n_words", "n_hit", "items", "spans", "h1", "h2"][: len(cols)])
 
     return run
 
@@ -211,6 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("decontam"), "text").alias("h2"))
     parts = []
     chunks = _item_chunks(benchmark, item_col, item_text_col, chunk_words)
     for chunk in chunks:
@@ -222,16 +225,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 counts[r["shingle"]] = r["n"]
         ix.order(counts)
         spans = len(chunks) > 1
-        schema = f"doc_id {id_type}, n_words long, n_hit long, items array<string>" + ", spans array<struct<start: long, end: long>>" * spans
-        parts.append(docs.mapInArrow(_match(spark.sparkContext.broadcast(ix), spans), schema))
+        schema = f"doc_id {id_type}, n_words long, n_hit long, items array<string>" + ", spans array<struct<start: long, end: long>>, h1 long, h2 long" * spans
+        parts.append((hashed if spans else docs).mapInArrow(_match(spark.sparkContext.broadcast(ix), spans), schema))
     if len(parts) == 1:
         return parts[0]
-    # several chunks: a document's spans from all of them, merged on its side
-    every = materialize(parts[0].unionByName(_all(parts[1:])).withColumn("none", F.col("doc_id").isNull()), "spans")
-    merged = every.groupBy("doc_id", "none").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # several chunks: a row's spans from all of them, merged on its side; equal rows are merged once and counted by the first chunk
+    numbered = [p.withColumn("once", F.lit(int(i == 0))) for i, p in enumerate(parts)]
+    every = materialize(_all(numbered), "spans")
+    merged = every.groupBy("doc_id", "h1", "h2").agg(
+        F.max("n_words").alias("n_words"),
+        F.sum("once").alias("rows"),
+        F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
     step = lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0).cast("long"), x.end - F.greatest(acc.upto, x.start))).alias("n"), F.greatest(acc.upto, x.end).alias("upto"))
-    return merged.select("doc_id", "n_words", F.aggregate("s", zero, step, lambda acc: acc.n).alias("n_hit"), "items")
+    found = merged.select("doc_id", "n_words", F.aggregate("s", zero, step, lambda acc: acc.n).alias("n_hit"), "items", "rows")
+    again = found.where("rows > 1").withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("rows")))).drop("copy")
+    return found.unionByName(again).drop("rows")
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:

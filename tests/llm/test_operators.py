@@ -345,6 +345,15 @@ def test_contamination(spark, chunk):
     assert decontam.contamination(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1_000_000, 3])
+def test_contamination_of_repeated_and_null_ids(spark, chunk):
+    items = spark.createDataFrame([("i", "aa bb"), ("j", "bb cc"), ("k", "dd")], "item_id string, text string")
+    rows = [(None, "x aa bb cc"), (None, "dd"), (None, "dd"), (None, None), (7, "aa bb"), (7, "y y y bb cc y"), (7, "aa bb"), (8, "z"), (8, None), (8, "")]
+    want = [(None, 4, 3, ["i", "j"]), (None, 1, 1, ["k"]), (None, 1, 1, ["k"]), (None, 0, 0, []), (7, 2, 2, ["i"]), (7, 6, 2, ["j"]), (7, 2, 2, ["i"]), (8, 1, 0, []), (8, 0, 0, []), (8, 0, 0, [])]
+    found = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items, window=2, chunk_words=chunk)
+    assert sorted(str(tuple(r)) for r in found.collect()) == sorted(map(str, want))
+
+
 # -- 9 --------------------------------------------------------------------------------
 
 
