@@ -41,7 +41,7 @@ GRAMS = 60_000
 MAX_N = 5
 #: Subtracted, in natural-log units, from the rarest frequency for what a language lacks.
 PENALTY = 2.0
-#: Words that a worker's cache may hold (16 bytes a language each).
+#: Words that a worker's cache may hold (16 bytes a language each), but for a single text with more.
 CACHE_WORDS = 300_000
 #: Characters of a word that are scored as such; a longer run of letters is scored by pieces of this length.
 WORD_CHARS = 64
@@ -102,8 +102,6 @@ class Predictor:
         self.shares = np.zeros((1024, len(self.model.langs)))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > self.cache_words and self.place:
-            self._clear()
         need = len(self.place) + len(words)
         if need > len(self.scores):
             more = max(need, 2 * len(self.scores)) - len(self.scores)
@@ -122,9 +120,10 @@ class Predictor:
             return "und", 0.0
         new = [w for w in count if w not in self.place]
         if new:
+            if self.place and len(self.place) + len(new) > self.cache_words:  # never within a text: all of its words are needed at once
+                self._clear()
+                new = list(count)
             self._learn(new)
-            if len(self.place) < len(count):  # the cache was cleared: all of the text's words again
-                self._learn([w for w in count if w not in self.place])
         at = np.fromiter(map(self.place.__getitem__, count), np.int64, len(count))
         n = np.fromiter(count.values(), np.float64, len(count))
         best = int(np.argmax(n @ self.scores[at]))

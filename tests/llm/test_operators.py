@@ -386,6 +386,15 @@ def test_language_id_words_first():
     assert m.score("zz").tolist() == [0, 0]
 
 
+def test_language_id_text_beyond_the_cache():
+    m = language_id.Model(["a", "b"], np.log([[0.5, 0.1], [0.1, 0.6]]), {"ab": 0, "cd": 1}, [{}])
+    texts = ["ab cd", "ab ab ee ff gg hh", "cd", "ii jj kk ll cd cd mm", "ab"]
+    small, large = language_id.Predictor(m, cache_words=3), language_id.Predictor(m)
+    got = [small.predict(t) for t in texts]
+    assert [g for g, _ in got] == ["b", "a", "b", "b", "a"]
+    assert got == [large.predict(t) for t in texts]
+
+
 # -- 10 -------------------------------------------------------------------------------
 
 
