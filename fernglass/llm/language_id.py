@@ -36,8 +36,8 @@ from ._store import materialize
 #: Labelled rows of a language that the tables are fitted on, in expectation.
 SAMPLE_DOCS = 3000
 #: Words, and n-grams of one length, of all languages together.
-WORDS = 120_000
-GRAMS = 60_000
+WORDS = 200_000
+GRAMS = 100_000
 MAX_N = 5
 #: Subtracted, in natural-log units, from the rarest frequency for what a language lacks.
 PENALTY = 2.0
