@@ -161,6 +161,33 @@ def test_cross_parsing(spark):
     assert many.count() == 46
 
 
+def test_longest_matches():
+    rng = random.Random(12)
+    flat = lambda rows: (np.array([w for r in rows for w in r], np.uint64), np.cumsum([0, *map(len, rows)]))
+    for n in (2, 3, 9):
+        for _ in range(150):
+            ref, docs = ([[rng.randrange(n) for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(0, 5))] for _ in range(2))
+            docs += ref[:1] + [r + r for r in ref[1:2]]
+            want = [_longest(d, i, ref) for d in docs for i in range(len(d))]
+            assert cross_parsing.longest_matches(*flat(docs), *flat(ref)).tolist() == want
+
+
+def test_cross_parsing_uses_all_shards(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(20, 60))) for _ in range(40)]
+    texts += texts[:20]  # copies, of which about half lie in the other half of the reference
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(2)
+    want = sorted(map(tuple, cross_parsing.score(docs, docs, shard_chars=1 << 30).collect()))
+    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", cross_parsing._half(F.col("doc_id")).alias("h")).collect()}
+    for i, n, phrases, _, reference, _ in want:
+        blocks = [t.split() for j, t in enumerate(texts) if half[j] != half[i]]
+        number = [["abcdefgh".index(w) for w in b] for b in blocks]
+        assert reference == sum(map(len, blocks)) and phrases == cross_parsing.SuffixAutomaton(number).phrases(["abcdefgh".index(w) for w in texts[i].split()])
+    assert any(phrases == 1 for _, _, phrases, *_ in want)
+    assert sorted(map(tuple, cross_parsing.score(docs, docs, shard_chars=50).collect())) == want
+    assert sorted(map(tuple, cross_parsing.score(docs, docs, shard_chars=300, task_chars=500).collect())) == want
+
+
 # -- 4 --------------------------------------------------------------------------------
 
 
