@@ -121,9 +121,15 @@ def record_row(data: bytes) -> dict:
     """A record as a row: page_id, url, type, whom it refers to, full payload length, digest, payload."""
     r = parse_record(data)
     f = r["fields"]
+    size, (label, _, digest) = r["length"], f.get("warc-payload-digest", "").rpartition(":")
+    if f["warc-type"] == "response":  # measured on what was read; a revisit has its headers alone
+        found = payload_digest(r["payload"])
+        if len(r["payload"]) != size or (digest and label.lower() in ("", "sha1") and found != digest):
+            raise BadRecord("a response's payload disagrees with its header")
+        digest = found
     return {
         "page_id": _name(f.get("warc-record-id")), "url": f.get("warc-target-uri"), "record_type": f["warc-type"], "refers_to": _name(f.get("warc-refers-to")),
-        "payload_bytes": r["length"], "payload_digest": f.get("warc-payload-digest", "").rpartition(":")[2], "payload": r["payload"] if f["warc-type"] != "revisit" else None,
+        "payload_bytes": size, "payload_digest": digest, "payload": r["payload"] if f["warc-type"] != "revisit" else None,
     }
 
 

@@ -79,6 +79,17 @@ def test_warc_passes_over_what_is_no_member(tmp_path):
             assert sorted(at for lo in range(0, size, step) for at, _ in warc.read_range(f, lo, min(size, lo + step), size)) == [len(fake), len(fake) + len(good) + 4]
 
 
+def test_warc_measures_payloads():
+    page = b"some page" * 9
+    good = warc.record_bytes(1, "u", page, warc.payload_digest(page), None)
+    row = warc.record_row(good)
+    assert (row["payload_bytes"], row["payload_digest"], row["payload"]) == (len(page), warc.payload_digest(page), page)
+    for bad in (good.replace(page, page[:-1] + b"!"), good.replace(f"Content-Length: {len(page)}\r\n".encode(), b"Content-Length: 80\r\n")):
+        assert bad != good
+        with pytest.raises(warc.BadRecord):
+            warc.record_row(bad)
+
+
 # -- 2 --------------------------------------------------------------------------------
 
 
