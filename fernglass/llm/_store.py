@@ -3,24 +3,31 @@
 Intermediate results are written as Parquet below the folder that the session
 names in ``spark.checkpoint.dir``, so they survive the loss of any executor and
 carry file sizes from which Catalyst decides by itself whether a join side is
-small enough to broadcast.
+small enough to broadcast. They are removed after their last reader where that is
+known (``dispose``), else when the driver's interpreter ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share. Set to a temporary one only where unset (tests, local runs)."""
+    """The folder all executors share. Where unset, a temporary one of this machine for local sessions; a cluster has to name one."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{_KEY} names no folder that the executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fernglass-")
         spark.conf.set(_KEY, root)
         spark.sparkContext.setCheckpointDir(root)
@@ -48,7 +55,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = found, path
+    return found
+
+
+def dispose(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more."""
+    for table in tables:
+        _, path = _paths.pop(id(table))
+        _delete(table.sparkSession, path)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function whose worker gives its free memory back at the end: workers outlive their tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
 
 
 def size_in_bytes(df: DataFrame) -> int:

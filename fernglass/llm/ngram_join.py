@@ -3,32 +3,41 @@
 A document's set holds the hashes (64 bits) of its distinct word n-grams. Two
 documents link when ``100 * |A & B| >= threshold * |A | B|``. The join is exact:
 
-1. *Shared counts.* A partner covers at least ``threshold`` % of a set, so a set
-   in which fewer of the n-grams occur in any other document links with nothing.
-   Tasks send each batch's n-grams once, packed by hash range; ranges return which
-   of them other batches hold. Only sets that pass go on.
-2. *Classes.* Equal sets become one class with a count of members.
-3. *Families.* Each set's rarest n-grams, as many as any partner must share one
-   of (prefix filter by exact document frequency), connect it with its possible
-   partners: along each n-gram's size-ordered list, with a cut where sizes differ
-   too much to link. A family's sets can link with each other only.
-4. *Tiles.* Families are cut into cells of bounded size, and pairs of cells are
-   computed in one task each. Inverted lists are ordered by set size and read from
-   the first to the last position whose size can link, the rest is skipped; a set
-   much like the one before derives its overlaps from that one's by the lists of
-   the n-grams in which they differ.
-
-No pair is ever emitted: a tile returns a count per set and a spanning forest.
+1. *Shared counts.* A partner covers at least ``threshold`` % of a set and has a size
+   within that ratio. So a set in which fewer of the n-grams occur in a document of
+   such a size links with nothing. Tasks send each batch's n-grams packed by hash
+   range, one alone of those that a batch holds several times; ranges return, by
+   document, how many occur elsewhere.
+2. *Classes.* Equal sets become one class with a count of members; of the sets that
+   pass, one a class goes on.
+3. *Prefixes.* A second exchange of that kind tells each set's n-grams that still have
+   partners and how frequent they are. Ordered by frequency class and hash, the first
+   so many that any partner must share one are the set's prefix. A first common n-gram
+   at a place of the order bounds the overlap by what follows it, hence the sizes of
+   partners (positional filter).
+4. *Families.* Along each prefix n-gram's size-ordered list, sets whose bounds admit
+   each other are connected; sets of different families can't link.
+5. *Tiles.* Families are cut into cells of bounded size, and pairs of cells are
+   computed in one task each, to which sets are sent as they are read. Inverted lists
+   are ordered by set size and read from the first to the last position whose size can
+   link, the rest is skipped; a set much like the one before derives its overlaps from
+   that one's by the lists of the n-grams in which they differ.
+
+No pair is ever emitted: a tile returns a count per set and a spanning forest. No
+n-gram's list is gathered whole: of a batch it has an entry a size class, or a size
+and bound, at most.
 
 Defined cases: a null or word-less text has an empty set, links with nothing and
 is its own component. Fewer words than n make one n-gram of them all. Rows that
-repeat a doc_id count as one document and each get its result. A null doc_id gets
-n_shingles, no links and a null component. An empty table gives an empty result.
-Other columns are ignored, whatever their names.
+repeat a doc_id count as one document and each get its n_similar and component_id; of
+different texts the one with the least hashes counts. A null doc_id gets n_shingles,
+no links and a null component. An empty table gives an empty result. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,25 +45,26 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import _words as W
 from ._hot import join_by_count, without
-from ._store import materialize, shuffle_partitions, size_in_bytes
+from ._store import dispose, materialize, shuffle_partitions, size_in_bytes, trimmed
 from .components import connected_components, star_forest
 
 #: N-grams of one batch of documents (8 bytes each, in a worker's memory).
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 1_000_000
 #: Bytes of text per hash range.
 RANGE_BYTES = 16 << 20
 #: N-grams of one cell of a family (8 bytes each); two cells meet in a task.
-CELL_SHINGLES = 3_000_000
-#: Ids that a broadcast may hold (8 bytes each); beyond, the join shuffles.
+CELL_SHINGLES = 1_000_000
+#: Ids that a broadcast may hold (8 bytes each, and what goes with them); beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 #: The side of a cell that meets itself.
 SELF = 2
 #: Sets whose lists share one range of positions.
 BLOCK = 64
+#: Ratio of neighbouring size classes.
+CLASS_RATIO = 1.05
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 2) -> list[np.ndarray]:
@@ -85,188 +95,356 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 2) -> list[np.n
     return out
 
 
-def _sets_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = W.string_buffers(batch.column(1))
+def _sets_of(batch: pa.RecordBatch, n: int, column: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    data, offsets = W.string_buffers(batch.column(column))
     for lo, hi in W.chunks(offsets):
         part = offsets[lo : hi + 1]
         for i, s in enumerate(shingle_sets(data[part[0] : part[-1]], part - part[0], n)):
             yield lo + i, s
 
 
-_SENT = "range int, batch long, kind int, n_docs int, a binary, b binary, c binary"
-
-
-def _pack(batch: int, ids: pa.Array, sets: list[np.ndarray], n_ranges: int) -> pa.RecordBatch:
-    """One batch's n-grams by hash range, those that it holds once with their document's place."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    h = np.concatenate(sets) >> np.uint64(16)
-    doc = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
-    order = np.argsort(h)
-    h, doc = h[order], doc[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    starts = np.flatnonzero(first)
-    run = np.diff(np.append(starts, len(h)))
-    local = np.bincount(doc[np.repeat(run > 1, run)], minlength=len(sets)).astype(np.int32)
-    once = run == 1
-    key, who = h[starts], doc[starts]
-    cut = np.searchsorted(key, (np.arange(n_ranges + 1, dtype=np.uint64) << np.uint64(48)) // np.uint64(n_ranges)) if n_ranges > 1 else np.array([0, len(key)])
-    cut[-1] = len(key)
-    rows = {k: [] for k in "rabc"}
-    for r in range(n_ranges):
-        k, o, w = key[cut[r] : cut[r + 1]], once[cut[r] : cut[r + 1]], who[cut[r] : cut[r + 1]]
-        if len(k):
-            one, many = k[o], k[~o]
-            rows["r"].append(r)
-            rows["a"].append(_split48(one))
-            rows["b"].append(w[o].tobytes())
-            rows["c"].append(_split48(many))
-    m = len(rows["r"])
-    return pa.record_batch(
-        [
-            pa.array([*rows["r"], batch % n_ranges], pa.int32()), pa.array([batch] * (m + 1), pa.int64()), pa.array([0] * m + [1], pa.int32()), pa.array([len(sets)] * (m + 1), pa.int32()),
-            pa.array([*rows["a"], pa.record_batch([ids], names=["i"]).serialize().to_pybytes()], pa.binary()), pa.array([*rows["b"], size.astype(np.int32).tobytes()], pa.binary()), pa.array([*rows["c"], local.tobytes()], pa.binary()),
-        ],
-        names=["range", "batch", "kind", "n_docs", "a", "b", "c"],
-    )
-
-
-def _split48(h: np.ndarray) -> bytes:
-    """48-bit values as a plane of high halves, which repeat in a sorted range, and one of low words."""
-    return (h >> np.uint64(32)).astype(np.uint16).tobytes() + h.astype(np.uint32).tobytes()
-
-
-def _join48(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return (np.frombuffer(b, np.uint16, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b[2 * n :], np.uint32, n)
-
-
-def _send(n: int, n_ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held, sets, ids = TaskContext.get().partitionId() << 24, 0, 0, [], []
-        for batch in batches:
-            for i, s in _sets_of(batch, n):
-                sets.append(s)
-                ids.append(batch.column(0)[i].as_py())
-                held += len(s)
-                if held >= BATCH_SHINGLES or len(sets) == 65535:
-                    yield _pack(base + k, pa.array(ids, pa.int64()), sets, n_ranges)
-                    k, held, sets, ids = k + 1, 0, [], []
-        if sets:
-            yield _pack(base + k, pa.array(ids, pa.int64()), sets, n_ranges)
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(W.mix(s).sum(dtype=np.uint64).view(np.int64)), int(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
-    return run
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Classes of sizes, the last of them open."""
+    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / math.log(CLASS_RATIO)), 255).astype(np.uint8)
+
+
+def _class_reach(threshold: int) -> int:
+    """By how much the classes of two sizes within the ratio may differ; the open one is near all."""
+    return math.floor(math.log(100 / threshold) / math.log(CLASS_RATIO)) + 1
+
+
+def _near(token: np.ndarray, size: np.ndarray, reach: int) -> np.ndarray:
+    """Which entries, sorted by token and size class, have another of their token within reach."""
+    out = np.zeros(len(token), bool)
+    close = (token[1:] == token[:-1]) & ((size[1:].astype(np.int64) - size[:-1] <= reach) | (size[1:] == 255))
+    out[1:] |= close
+    out[:-1] |= close
+    return out
+
+
+def _planes(token: np.ndarray) -> bytes:
+    """32-bit values as a plane of high halves, which repeat where they ascend, and one of low halves."""
+    return (token >> np.uint32(16)).astype(np.uint16).tobytes() + token.astype(np.uint16).tobytes()
+
+
+def _unplane(b: bytes) -> np.ndarray:
+    n = len(b) // 4
+    return (np.frombuffer(b, np.uint16, n).astype(np.uint32) << np.uint32(16)) | np.frombuffer(b[2 * n :], np.uint16, n)
+
+
+_EIGHT, _FORTY = np.uint64(8), np.uint64(40)
+
+
+class _Batch:
+    """The n-grams of some documents, sorted by hash range, token and size class.
+
+    A token is 32 bits of a hash; n-grams of a range that share one count as the same,
+    which makes more candidates and loses none.
+    """
+
+    def __init__(self, ids: list, sets: list[np.ndarray], n_ranges: int):
+        self.ids = pa.record_batch([pa.array(ids, pa.int64())], names=["i"]).serialize().to_pybytes()
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        h = np.concatenate([np.zeros(0, np.uint64), *sets])
+        doc = np.repeat(np.arange(len(sets), dtype=np.uint16), self.size)
+        key = (((h >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)) << _FORTY
+        key |= (h & np.uint64(0xFFFFFFFF)) << _EIGHT
+        key |= _size_class(self.size)[doc]
+        order = np.argsort(key, kind="stable")
+        self.key, self.doc = key[order], doc[order]
+        self.n_ranges = n_ranges
 
-_FOUND = "batch long, kind int, n_docs int, a binary, b binary, c binary"
+    def token(self, at: np.ndarray | slice) -> np.ndarray:
+        return (self.key[at] >> _EIGHT).astype(np.uint32)
 
+    def kind(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.key[at].astype(np.uint8)
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash range: the documents' places whose n-gram another batch holds too."""
-    once, whos, owner, many, meta, n_docs, names = [], [], [], [], [], [], []
+    def cuts(self, at: np.ndarray) -> list[int]:
+        """Where each range begins among the entries at these places."""
+        return np.searchsorted(self.key[at] >> _FORTY, np.arange(self.n_ranges + 1, dtype=np.uint64)).tolist()
+
+
+def _batches(batches: Iterator[pa.RecordBatch], n: int, n_ranges: int) -> Iterator[tuple[int, _Batch, np.ndarray]]:
+    """(number, batch, digests of its sets)."""
+    base, k, held, sets, ids = TaskContext.get().partitionId() << 24, 0, 0, [], []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"]:
-                meta.append(r)
-                continue
-            k = _join48(r["a"])
-            once.append(k)
-            whos.append(np.frombuffer(r["b"], np.uint16))
-            owner.append(np.full(len(k), len(names), np.int32))
-            names.append(r["batch"])
-            n_docs.append(r["n_docs"])
-            many.append(_join48(r["c"]))
-    rows = [(m["batch"], 1, m["n_docs"], m["a"], m["b"], m["c"]) for m in meta]
-    if names:
-        key, who, own, many = np.concatenate(once), np.concatenate(whos), np.concatenate(owner), np.unique(np.concatenate(many))
-        order = np.argsort(key)
-        key, who, own = key[order], who[order], own[order]
-        same = key[1:] == key[:-1]
-        shared = np.zeros(len(key), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        if len(many):
-            at = np.minimum(np.searchsorted(many, key), len(many) - 1)
-            shared |= many[at] == key
-        who, own = who[shared], own[shared]
-        order = np.argsort(own, kind="stable")
-        who, cut = who[order], np.searchsorted(own[order], np.arange(len(names) + 1))
-        for i, name in enumerate(names):
-            if cut[i + 1] > cut[i]:
-                rows.append((name, 0, n_docs[i], np.sort(who[cut[i] : cut[i + 1]]).tobytes(), None, None))
-    if rows:
-        cols = list(zip(*rows))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "kind", "n_docs", "a", "b", "c"])
-
-
-def _sum_up(threshold: int):
+        names = batch.column(0).to_pylist()
+        for i, s in _sets_of(batch, n):
+            sets.append(s)
+            ids.append(names[i])
+            held += len(s)
+            if held >= BATCH_SHINGLES or len(sets) == 65535:
+                yield base + k, _Batch(ids, sets, n_ranges), np.array([_digest(s) for s in sets], np.int64)
+                k, held, sets, ids = k + 1, 0, [], []
+    if sets:
+        yield base + k, _Batch(ids, sets, n_ranges), np.array([_digest(s) for s in sets], np.int64)
+
+
+_PACKED = [("range", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")]
+_SENT = "range int, batch long, kind int, a binary, b binary, c binary, d binary, e binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _PACKED)], names=[name for name, _ in _PACKED])
+
+
+def _send_counts(n: int, n_ranges: int, reach: int):
+    """To each range the entries that the batch can't tell to be shared, with their documents' places, and one of those that it can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b, digests in _batches(batches, n, n_ranges):
+            shared = _near(b.key >> _EIGHT, b.key.astype(np.uint8), reach)
+            local = np.bincount(b.doc[shared], minlength=len(b.size)).astype(np.int32)
+            once = np.flatnonzero(~shared)
+            many = np.flatnonzero(shared)
+            many = many[np.concatenate([[True], b.key[many[1:]] != b.key[many[:-1]]])] if len(many) else many
+            c1, c2 = b.cuts(once), b.cuts(many)
+            rows = [(number % n_ranges, number, 1, b.ids, b.size.tobytes(), local.tobytes(), digests.tobytes(), None)]
+            for r in range(n_ranges):
+                x, y = once[c1[r] : c1[r + 1]], many[c2[r] : c2[r + 1]]
+                if len(x) or len(y):
+                    rows.append((r, number, 0, _planes(b.token(x)), b.doc[x].tobytes(), b.kind(x).tobytes(), _planes(b.token(y)), b.kind(y).tobytes()))
+            yield _packed(rows)
+
+    return trimmed(run)
+
+
+def _meet_counts(reach: int):
+    """Of one hash range: how many entries of each document another document of a like size has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, kind, who, cut, names, rows = [], [], [], [0], [], []
+        many, many_kind = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"]:
+                    rows.append((0, r["batch"], 1, r["a"], r["b"], r["c"], r["d"], None))
+                    continue
+                token.append(_unplane(r["a"]))
+                who.append(np.frombuffer(r["b"], np.uint16))
+                kind.append(np.frombuffer(r["c"], np.uint8))
+                many.append(_unplane(r["d"]))
+                many_kind.append(np.frombuffer(r["e"], np.uint8))
+                names.append(r["batch"])
+                cut.append(cut[-1] + len(who[-1]))
+        if names:
+            key = np.concatenate([*token, *many]).astype(np.uint64) << _EIGHT | np.concatenate([*kind, *many_kind])
+            del token, kind, many, many_kind
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            near = _near(key >> _EIGHT, key.astype(np.uint8), reach)
+            shared = np.zeros(len(key), bool)
+            shared[order[near]] = True
+            for name, w, lo, hi in zip(names, who, cut, cut[1:]):
+                count = np.bincount(w[shared[lo:hi]])
+                some = np.flatnonzero(count)
+                if len(some):
+                    rows.append((0, name, 0, some.astype(np.uint16).tobytes(), count[some].astype(np.int32).tobytes(), None, None, None))
+        for lo in range(0, len(rows), 2000):
+            yield _packed(rows[lo : lo + 2000])
+
+    return trimmed(run)
+
+
+def _ids_of(b: bytes) -> pa.Array:
+    return pa.ipc.read_record_batch(b, pa.schema([("i", pa.int64())])).column(0)
+
+
+def _sum_counts(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        total, ids, size = None, pa.array([], pa.int64()), np.zeros(0, np.int32)
-        for r in table.to_pylist():
-            add = np.bincount(np.frombuffer(r["a"], np.uint16), minlength=r["n_docs"]) if not r["kind"] else np.frombuffer(r["c"], np.int32)
-            total = add.astype(np.int64) if total is None else total + add
-            if r["kind"]:
-                ids = pa.ipc.read_record_batch(r["a"], pa.schema([("i", pa.int64())])).column(0)
-                size = np.frombuffer(r["b"], np.int32)
-        maybe = (size > 0) & (100 * (total if total is not None else size) >= threshold * size)
-        return pa.table({"doc_id": ids, "n_shingles": pa.array(size.astype(np.int64)), "maybe": pa.array(maybe)})
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["kind"])
+        size, total = np.frombuffer(own["b"], np.int64), np.frombuffer(own["c"], np.int32).astype(np.int64)
+        for r in rows:
+            if not r["kind"]:
+                total[np.frombuffer(r["a"], np.uint16)] += np.frombuffer(r["b"], np.int32)
+        digest = np.frombuffer(own["d"], np.int64).reshape(-1, 2)
+        maybe = (size > 0) & (100 * total >= threshold * size)
+        return pa.table({"doc_id": _ids_of(own["a"]), "n": pa.array(size), "h1": pa.array(digest[:, 0]), "h2": pa.array(digest[:, 1]), "maybe": pa.array(maybe)})
 
     return run
 
 
-def _shared_counts(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """(doc_id, n_shingles, maybe): maybe is false only where no other document can link."""
-    n_ranges = max(shuffle_partitions(docs.sparkSession), size_in_bytes(docs) // RANGE_BYTES)
-    sent = docs.mapInArrow(_send(n, n_ranges), _SENT)
-    found = sent.repartitionById(n_ranges, "range").mapInArrow(_meet, _FOUND)
-    return found.groupBy("batch").applyInArrow(_sum_up(threshold), "doc_id long, n_shingles long, maybe boolean")
+def _shared_counts(docs: DataFrame, n: int, threshold: int, n_ranges: int) -> DataFrame:
+    """(doc_id, n, h1, h2, maybe): maybe is false only where no other document can link."""
+    reach = _class_reach(threshold)
+    sent = docs.mapInArrow(_send_counts(n, n_ranges, reach), _SENT)
+    found = sent.repartitionById(n_ranges, "range").mapInArrow(_meet_counts(reach), _SENT)
+    return found.groupBy("batch").applyInArrow(_sum_counts(threshold), "doc_id long, n long, h1 long, h2 long, maybe boolean")
+
 
+def _send_classes(n: int, n_ranges: int):
+    """To each range its distinct (token, size class) entries with their numbers; to the batch itself its documents' places."""
 
-def _to_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b, _ in _batches(batches, n, n_ranges):
+            first = np.flatnonzero(np.concatenate([[True], b.key[1:] != b.key[:-1]])) if len(b.key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(b.key))).astype(np.uint16)
+            cut = b.cuts(first)
+            rows = [(number % n_ranges, number, 1, b.ids, b.size.tobytes(), times.tobytes(), b.doc.tobytes(), np.array(cut, np.int64).tobytes())]
+            for r in range(n_ranges):
+                x = first[cut[r] : cut[r + 1]]
+                if len(x):
+                    rows.append((r, number, 0, _planes(b.token(x)), b.kind(x).tobytes(), times[cut[r] : cut[r + 1]].tobytes(), None, None))
+            yield _packed(rows)
+
+    return trimmed(run)
+
+
+def _meet_classes(reach: int):
+    """Of one hash range: for each entry its token and a code, 0 where no other set of a like size has it, else 1 and its frequency class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, token, kind, times, names, rows = 0, [], [], [], [], []
         for batch in batches:
-            sets = [s for _, s in _sets_of(batch, n)]
-            with np.errstate(over="ignore"):
-                h1 = [int(W.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                h2 = [int(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "h1", "h2", "grams"])
+            for r in batch.to_pylist():
+                if r["kind"]:
+                    rows.append((0, r["batch"], 1, r["a"], r["b"], r["c"], r["d"], r["e"]))
+                    continue
+                here = r["range"]
+                token.append(_unplane(r["a"]))
+                kind.append(np.frombuffer(r["b"], np.uint8))
+                times.append(np.frombuffer(r["c"], np.uint16))
+                names.append(r["batch"])
+        if names:
+            key, n = np.concatenate(token).astype(np.uint64) << _EIGHT | np.concatenate(kind), np.concatenate(times).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            gram = key >> _EIGHT
+            near = _near(gram, key.astype(np.uint8), reach) | (n > 1)
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            every = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(gram))))
+            code = np.empty(len(key), np.uint8)
+            code[order] = np.where(near, 1 + np.floor(np.log2(every)).astype(np.uint8), 0)
+            lo = 0
+            for name, t in zip(names, token):
+                c = code[lo : lo + len(t)]
+                lo += len(t)
+                some = c > 0
+                rows.append((here, name, 0, c.tobytes(), _planes(t[some]), None, None, None))
+        for lo in range(0, len(rows), 2000):
+            yield _packed(rows[lo : lo + 2000])
+
+    return trimmed(run)
+
+
+def _prefixes(threshold: int):
+    """(gram, n, upto, rep, same) of a batch's prefixes: of sets that agree in the first three, the least stands for all (same)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["kind"])
+        size, times, doc, cut = np.frombuffer(own["b"], np.int64), np.frombuffer(own["c"], np.uint16), np.frombuffer(own["d"], np.uint16), np.frombuffer(own["e"], np.int64)
+        ids = _ids_of(own["a"]).to_numpy(zero_copy_only=False)
+        code, gram = np.zeros(len(times), np.uint8), np.zeros(len(times), np.int64)
+        for r in rows:
+            if not r["kind"]:
+                lo, hi = cut[r["range"]], cut[r["range"] + 1]
+                code[lo:hi] = np.frombuffer(r["a"], np.uint8)
+                gram[lo:hi][code[lo:hi] > 0] = _unplane(r["b"]).astype(np.int64) | r["range"] << 32
+        code, gram = np.repeat(code, times), np.repeat(gram, times)
+        doc, gram, code = doc[code > 0], gram[code > 0], code[code > 0]
+        order = np.lexsort((gram, code, doc))
+        doc, gram = doc[order], gram[order]
+        usable = np.bincount(doc, minlength=len(size))
+        rank = np.arange(len(doc)) - (np.cumsum(usable) - usable)[doc]
+        least = -(-threshold * size // 100)  # the overlap that any partner has
+        ahead = usable[doc] - rank  # a partner whose first common n-gram this is has no more in common
+        at = np.flatnonzero(rank < (usable - least + 1)[doc])
+        doc, gram, ahead = doc[at], gram[at], ahead[at]
+        # 100 * ahead >= threshold * (n + m - ahead) bounds a partner's size m, as m * threshold <= 100 * n does
+        n = size[doc]
+        upto = np.minimum(100 * n // threshold, (100 + threshold) * ahead // threshold - n)
+        return _contracted(gram, n, upto, ids[doc])
 
     return run
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rep, size, blobs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-        lo = 0
-        while lo < len(rep):
-            hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), 1 << 18, "right")) + lo)
-            grams = np.frombuffer(b"".join(b.as_py() for b in blobs[lo:hi]), np.int64)
-            yield pa.record_batch([pa.array(np.repeat(rep[lo:hi], size[lo:hi])), pa.array(np.repeat(size[lo:hi], size[lo:hi])), pa.array(grams)], names=["rep", "n", "gram"])
-            lo = hi
+def _contracted(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarray) -> pa.Table:
+    order = np.lexsort((rep, upto, n, gram))
+    gram, n, upto, rep = gram[order], n[order], upto[order], rep[order]
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (n[1:] != n[:-1]) | (upto[1:] != upto[:-1])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(gram)), 0))
+    src, dst = star_forest(rep, rep[first]) if len(rep) else (rep, rep)
+    more = src != dst
+    src, dst = src[more], dst[more]
+    none = pa.nulls(len(src), pa.int64())
+    join = lambda a, b: pa.concat_arrays([pa.array(a, pa.int64()), b])
+    return pa.table({"gram": join(gram[fresh], none), "n": join(n[fresh], none), "upto": join(upto[fresh], none), "rep": join(rep[fresh], pa.array(src, pa.int64())), "same": pa.concat_arrays([pa.nulls(int(fresh.sum()), pa.int64()), pa.array(dst, pa.int64())])})
+
+
+def _prefix_rows(reps: DataFrame, n: int, threshold: int, n_ranges: int) -> DataFrame:
+    sent = reps.mapInArrow(_send_classes(n, n_ranges), _SENT)
+    found = sent.repartitionById(n_ranges, "range").mapInArrow(_meet_classes(_class_reach(threshold)), _SENT)
+    return found.groupBy("batch").applyInArrow(_prefixes(threshold), "gram long, n long, upto long, rep long, same long")
+
+
+def list_edges(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all sets of each n-gram's list (sorted by gram and n) that may link with each other.
+
+    A set is a candidate for m if ``n <= upto`` of m and so the other way round. A set
+    with ``upto < n`` has smaller partners alone, which aren't of that kind themselves.
+    So the others are chained wherever any set's sizes span two neighbours, and each of
+    that kind hangs on the first of its span.
+    """
+    many = np.concatenate([[False], gram[1:] == gram[:-1]])
+    many[:-1] |= many[1:]
+    gram, n, upto, rep = gram[many], n[many], upto[many], rep[many]
+    if not len(gram):
+        return rep, rep
+    _, group = np.unique(gram, return_inverse=True)
+    wide = np.int64(max(n.max(), upto.max()) + 2)
+    whole = upto >= n
+    key, spot = (group * wide + n)[whole], np.flatnonzero(whole)
+    lo = np.searchsorted(key, group * wide + np.where(whole, n, -(-threshold * n // 100)))
+    hi = np.searchsorted(key, group * wide + upto, "right")
+    some = hi > lo
+    cover = np.zeros(len(key) + 1, np.int64)
+    np.add.at(cover, lo[some], 1)
+    np.add.at(cover, hi[some] - 1, -1)
+    chained = np.flatnonzero(np.cumsum(cover)[: max(0, len(key) - 1)] > 0)
+    hung = np.flatnonzero(some & ~whole)
+    return np.concatenate([rep[spot[chained]], rep[hung]]), np.concatenate([rep[spot[chained + 1]], rep[spot[lo[hung]]]])
 
 
 def _chain(threshold: int):
-    """Edges between neighbours of a list (sorted by gram and n) whose sizes let them link, contracted."""
+    """Edges of the lists (rows sorted by gram and n), contracted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        last, held = None, 1 << 20
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, n, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last is not None:
-                gram, n, rep = (np.concatenate([[x], y]) for x, y in zip(last, (gram, n, rep)))
-            link = (gram[1:] == gram[:-1]) & (100 * n[:-1] >= threshold * n[1:])
-            src, dst = np.concatenate([src, rep[:-1][link]]), np.concatenate([dst, rep[1:][link]])
-            last = (gram[-1], n[-1], rep[-1])
+        src, dst, held = np.zeros(0, np.int64), np.zeros(0, np.int64), 1 << 20
+        kept: list[np.ndarray] = []
+
+        def take(rows: list[np.ndarray]) -> None:
+            nonlocal src, dst, held
+            a, b = list_edges(*rows, threshold)
+            src, dst = np.concatenate([src, a]), np.concatenate([dst, b])
             if len(src) > held:
                 src, dst = star_forest(src, dst)
                 held = max(1 << 20, 2 * len(src))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            rows = [np.concatenate([x, y]) for x, y in zip(kept, rows)] if kept else rows
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on in the next batch
+            take([x[:cut] for x in rows])
+            kept = [x[cut:] for x in rows]
+        if kept:
+            take(kept)
         if len(src):
             src, dst = star_forest(src, dst)
             yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return run
+    return trimmed(run)
 
 
 class _Cell:
@@ -348,7 +526,11 @@ def tile_links(left: _Cell, right: _Cell, threshold: int, same: bool) -> tuple[n
 
 def _tiles(threshold: int):
     def done(rows: list[dict]) -> pa.RecordBatch:
-        sides = [_Cell([(r["rep"], r["mult"], r["grams"]) for r in rows if r["side"] == s]) for s in (0, 1, SELF) if any(r["side"] == s for r in rows)]
+        sides = []
+        for s in (0, 1, SELF):
+            own = {r["rep"]: r for r in rows if r["side"] == s}  # a repeated document's row counts once
+            if own:
+                sides.append(_Cell([(r["rep"], r["mult"], r["grams"]) for r in own.values()]))
         same = rows[0]["side"] == SELF
         if not same and len(sides) == 1:  # the other cell is empty
             return pa.record_batch([pa.array([], pa.int64())] * 3, names=["rep", "links", "root"])
@@ -369,65 +551,91 @@ def _tiles(threshold: int):
         if rows:
             yield done(rows)
 
-    return run
+    return trimmed(run)
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: int = 60, broadcast_ids: int = BROADCAST_IDS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id of every document, for a Jaccard threshold in per cent.
+def _to_tiles(n: int):
+    """Sets (doc_id, text, mult, h1, h2, where) as rows of every tile that they go to; texts of other hashes go nowhere."""
 
-    ``docs`` should be a scan of files (a table, or an earlier stage's output), so that a
-    task that runs again meets its rows in the same order.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, mult, h1, h2, where = (batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
+            rows, held = [], 0
+            for i, s in _sets_of(batch, n):
+                if (h1[i], h2[i]) != _digest(s):
+                    continue
+                grams = s.tobytes()
+                for w in where[i]:
+                    rows.append((w["tile"], w["side"], rep[i], mult[i], grams))
+                    held += len(grams)
+                    if held > 4 << 20:
+                        yield _tile_rows(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _tile_rows(rows)
+
+    return trimmed(run)
+
+
+def _tile_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["tile", "side", "rep", "mult", "grams"])
+
+
+def _placed(meta: DataFrame, threshold: int, cell_shingles: int) -> DataFrame:
+    """meta (rep, family, n, ...) with ``where``: the tiles, with sides, to which a set goes."""
+    volume = meta.groupBy("family").agg(F.sum("n").alias("volume"))
+    ratio = F.log(F.col("n")) / math.log(100.0 / threshold + 1e-9) if threshold < 100 else F.col("n")
+    large = meta.join(volume.where(F.col("volume") > cell_shingles), "family").withColumn("band", F.floor(ratio).cast("int"))
+    large = materialize(large, "large")
+    loads = large.groupBy("family", "band").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("parts"))
+    cells = loads.select("family", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    a, b = cells.select("family", F.col("band").alias("b1"), F.col("part").alias("p1")), cells.select("family", F.col("band").alias("b2"), F.col("part").alias("p2"))
+    meets = a.join(b, "family").where("b2 - b1 in (0, 1) and (b2 > b1 or p2 >= p1)")
+    tile = F.xxhash64("family", "b1", "p1", "b2", "p2").alias("tile")
+    alone = (F.col("b1") == F.col("b2")) & (F.col("p1") == F.col("p2"))
+    first = meets.select("family", F.col("b1").alias("band"), F.col("p1").alias("part"), F.struct(tile, F.when(alone, F.lit(SELF)).otherwise(F.lit(0)).alias("side")).alias("w"))
+    second = meets.where(~alone).select("family", F.col("b2").alias("band"), F.col("p2").alias("part"), F.struct(tile, F.lit(1).alias("side")).alias("w"))
+    spread = first.unionByName(second).groupBy("family", "band", "part").agg(F.collect_list("w").alias("where"))  # the cells of the next bands
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")
+    cut = large.join(loads, ["family", "band"]).select(*meta.columns, "band", part).join(spread, ["family", "band", "part"]).select(*meta.columns, "where")
+    small = meta.join(volume.where(F.col("volume") <= cell_shingles), "family")
+    whole = F.array(F.struct(F.xxhash64("family").alias("tile"), F.lit(SELF).alias("side")))
+    return small.select(*meta.columns, whole.alias("where")).unionByName(cut)
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: int = 60, broadcast_ids: int = BROADCAST_IDS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id of every document, for a Jaccard threshold in per cent."""
     if not 1 <= threshold <= 100:
         raise ValueError("threshold is a percentage from 1 to 100")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = materialize(_shared_counts(docs, n, threshold), "sizes")
-    maybe = sizes.where("maybe and doc_id is not null").select("doc_id").distinct()
-    few = maybe.count() <= broadcast_ids
-    chosen = docs.join(F.broadcast(maybe) if few else maybe, "doc_id", "left_semi")
-    sets = materialize(chosen.mapInArrow(_to_sets(n), "doc_id long, n long, h1 long, h2 long, grams binary"), "sets")
-    members = sets.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n_ranges = max(shuffle_partitions(docs.sparkSession), size_in_bytes(docs) // RANGE_BYTES)
+    sizes = materialize(_shared_counts(docs, n, threshold, n_ranges), "sizes")
     keys = ["h1", "h2", "n"]
+    members = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*keys, "maybe")).alias("s")).select("doc_id", "s.*")
     members = materialize(members, "members")
-    classes = materialize(members.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "classes")
-    total = members.count()
-    reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "mult", "n", "grams")
-    reps = materialize(reps, "reps")
-
-    grams = reps.select("rep", "n", "grams").mapInArrow(_explode, "rep long, n long, gram long")
-    grams = materialize(grams, "grams")
-    common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    known = grams.join(common, "gram")
-    per_set = Window.partitionBy("rep")
-    need = F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9) + 1  # a partner holds one of the rarest so many
-    ranked = known.withColumn("rank", F.row_number().over(per_set.orderBy("df", "gram"))).withColumn("shared", F.count("*").over(per_set))
-    prefix = ranked.where(F.col("rank") + F.col("n") - F.col("shared") <= need).select("gram", "n", "rep")
-    edges = prefix.repartition("gram").sortWithinPartitions("gram", "n", "rep").mapInArrow(_chain(threshold), "src long, dst long")
-    families = connected_components(edges).withColumnRenamed("id", "rep").withColumnRenamed("component", "family")
-
-    grouped = materialize(reps.join(families, "rep"), "families")
-    volume = grouped.groupBy("family").agg(F.sum("n").alias("volume"))
-    band = F.when(F.col("volume") <= cell_shingles, F.lit(0)).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / max(1, threshold)) + 1e-9)).cast("int")) if threshold < 100 else F.when(F.col("volume") <= cell_shingles, F.lit(0)).otherwise(F.col("n").cast("int"))
-    banded = grouped.join(volume.where(F.col("volume") > cell_shingles), "family", "left").withColumn("volume", F.coalesce("volume", F.lit(0))).withColumn("band", band)
-    loads = banded.where("volume > 0").groupBy("family", "band").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("parts"))
-    placed = banded.join(loads, ["family", "band"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(0)).cast("int")).select("family", "band", "part", "rep", "mult", "n", "grams")
-    cells = loads.select("family", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    a, b = cells.select("family", F.col("band").alias("b1"), F.col("part").alias("p1")), cells.select("family", F.col("band").alias("b2"), F.col("part").alias("p2"))
-    meets = a.join(b, "family").where("b2 - b1 in (0, 1) and (b2 > b1 or p2 >= p1)")
-    tile = F.xxhash64("family", "b1", "p1", "b2", "p2")
-    first = meets.select("family", F.col("b1").alias("band"), F.col("p1").alias("part"), tile.alias("tile"), F.when((F.col("b1") == F.col("b2")) & (F.col("p1") == F.col("p2")), F.lit(SELF)).otherwise(F.lit(0)).alias("side"))
-    second = meets.where("b1 <> b2 or p1 <> p2").select("family", F.col("b2").alias("band"), F.col("p2").alias("part"), tile.alias("tile"), F.lit(1).alias("side"))
-    small = placed.join(loads, ["family", "band"], "left_anti").select(F.xxhash64("family").alias("tile"), F.lit(SELF).alias("side"), "rep", "mult", "n", "grams")
-    large = placed.join(first.unionByName(second), ["family", "band", "part"]).select("tile", "side", "rep", "mult", "n", "grams")
-    tiles = small.unionByName(large).repartition("tile").sortWithinPartitions("tile")
-    linked = materialize(tiles.select("tile", "side", "rep", "mult", "grams").mapInArrow(_tiles(threshold), "rep long, links long, root long"), "linked")
+    classes = materialize(members.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.max("maybe").alias("maybe")), "classes")
+
+    some = materialize(classes.where("maybe").select(F.col("rep").alias("doc_id")), "candidates")
+    reps = docs.join(F.broadcast(some) if some.count() <= broadcast_ids else some, "doc_id", "left_semi")
+    prefix = materialize(_prefix_rows(reps, n, threshold, n_ranges), "prefixes")
+    lists = prefix.where("same is null").select("gram", "n", "upto", "rep").repartition("gram").sortWithinPartitions("gram", "n")
+    edges = lists.mapInArrow(_chain(threshold), "src long, dst long").unionByName(prefix.where("same is not null").select(F.col("rep").alias("src"), F.col("same").alias("dst")))
+    families = connected_components(edges).select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    dispose(prefix, some)
+
+    meta = materialize(families.join(classes, "rep").select("rep", "family", "n", "h1", "h2", "mult"), "families")
+    placed = materialize(_placed(meta, threshold, cell_shingles).select(F.col("rep").alias("doc_id"), "mult", "h1", "h2", "where"), "placed")
+    placed_few = F.broadcast(placed) if placed.count() <= broadcast_ids // 8 else placed
+    tiles = docs.join(placed_few, "doc_id").select("doc_id", "text", "mult", "h1", "h2", "where").mapInArrow(_to_tiles(n), "tile long, side int, rep long, mult long, grams binary")
+    linked = materialize(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "rep long, links long, root long"), "linked")
+    dispose(placed, meta)
 
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(linked.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     answers = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     answers = answers.select(*keys, "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"))
-    found = join_by_count(members, answers, keys, "mult", total).select("doc_id", "n_similar", "component_id")
-    return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
+    found = join_by_count(members.where("n > 0"), answers.where("n > 0"), keys, "mult", members.count()).select("doc_id", "n_similar", "component_id")
+    return sizes.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: int = 60) -> DataFrame:
