@@ -2,21 +2,27 @@
 
 A rule is a host and a path prefix; it fits its host and all subdomains where the
 url's path starts with the prefix. A host's labels in reverse order, each closed by
-a separator below all other characters, turn "this host and all below it" into one
-interval of keys: the keys that begin with the rule's. Keys and rules are sorted;
-one sweep over both keeps a stack of the rules whose interval holds the current
-key. Intervals nest or are apart, so what ended is always on top. Of the active
-rules whose path fits, the longest (host and path together, then host) wins.
+a separator that labels don't hold (they are escaped), turn "this host and all below
+it" into one interval of keys: the keys that begin with the rule's. A host's rules are
+ordered by path, and a path's prefixes are intervals about it in the same way. Keys and
+rules are sorted; one sweep over both keeps a stack of the hosts with rules whose
+interval holds the current key. Intervals nest or are apart, so what ended is always on
+top. Of each host on the stack the longest path that fits is found by bisection and
+links to the next shorter nested path. Of the rules that fit, the longest (host and path
+together, then host) wins.
 
 Rules are swept with each batch of urls where their table is small (a checked size).
-A larger table is cut, in key order, into ranges of ``RANGE_RULES``; each range gets
-the rules that are open at its start, and urls go to their range, spread over tasks
-by a salt in proportion to the range's urls.
+Beyond, a url's host and each host above it become probes, of that host's key and the
+url's path; rules, keyed by host and path alike, are cut in key order into ranges of
+``RANGE_RULES``, wherever in a host's rules that falls. Each range gets the rules that
+are open at its start, and probes go to their range, spread over tasks by a salt in
+proportion to the range's probes; there a sweep keeps the stack of nested rules.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path and
 no rule. Repeated rules are one; of equal rules with both verdicts, block wins. A
 null verdict, host or path in a rule leaves it out. Repeated urls and page ids give
-a row each. Other columns are ignored. Empty tables give empty results or no rules.
+a row each. Any character may stand in hosts and paths. Other columns are ignored.
+Empty tables give empty results or no rules.
 """
 
 from __future__ import annotations
@@ -28,14 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, trimmed
 
 #: Rules that one task sweeps; beyond, rules are cut into ranges.
 RANGE_RULES = 200_000
-#: Urls of one salt of a range.
+#: Probes of one salt of a range.
 SALT_URLS = 2_000_000
 
 SEP = "\x01"
+#: How what has a meaning in keys is written where it stands in a label.
+ESCAPES = {"\x02": "\x02\x04", SEP: "\x02\x03"}
+#: Closes a host's key before a path.
+END = "\x02\x05"
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -51,48 +61,78 @@ def path_of(url: Column) -> Column:
 
 def host_key(host: str) -> str:
     """The host's labels in reverse order, each closed by the separator."""
+    for c, to in ESCAPES.items():
+        host = host.replace(c, to)
     return "".join(label + SEP for label in reversed(host.split(".")))
 
 
+def _labels(host: Column) -> Column:
+    for c, to in ESCAPES.items():
+        host = F.replace(host, F.lit(c), F.lit(to))
+    return F.reverse(F.split(host, r"\."))
+
+
 def key_column(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), SEP), F.lit(SEP))
+    return F.concat(F.array_join(_labels(host), SEP), F.lit(SEP))
 
 
 Rule = tuple[str, str, str, str]  # key, host, path, verdict
 
 
-def sort_rules(rules: list[tuple[str, str, str]]) -> list[Rule]:
-    """(host, path, verdict) rows as sorted rules, repeated ones once."""
+class HostRules:
+    """The rules of one host by path, each with the next shorter one that it begins with."""
+
+    def __init__(self, rules: list[Rule]):
+        self.key, self.host = rules[0][:2]
+        self.rules, self.paths = rules, [r[2] for r in rules]
+        self.shorter: list[int] = []
+        stack: list[int] = []
+        for i, path in enumerate(self.paths):
+            while stack and not path.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.shorter.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def longest(self, path: str) -> Rule | None:
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.shorter[i]
+        return self.rules[i] if i >= 0 else None
+
+
+def sort_rules(rules: list[tuple[str, str, str]]) -> list[HostRules]:
+    """(host, path, verdict) rows as sorted hosts with rules, repeated ones once."""
     best: dict[tuple[str, str], str] = {}
     for host, path, verdict in rules:
         host = host.translate(str.maketrans(*_LOWER))
         if best.get((host, path)) != "block":
             best[host, path] = verdict
-    return sorted((host_key(h), h, p, v) for (h, p), v in best.items())
-
+    by_host: dict[str, list[Rule]] = {}
+    for key, host, path, verdict in sorted((host_key(h), h, p, v) for (h, p), v in best.items()):
+        by_host.setdefault(key, []).append((key, host, path, verdict))
+    return [HostRules(own) for own in by_host.values()]
 
-def sweep(keys: list[tuple[str, str]], rules: list[Rule], open_rules: list[Rule] = []) -> list[Rule | None]:
-    """The rule of every (key, path); keys in any order, rules sorted.
 
-    ``open_rules`` are rules before these whose interval may hold the keys.
-    """
+def sweep(keys: list[tuple[str, str]], hosts: list[HostRules]) -> list[Rule | None]:
+    """The rule of every (key, path); keys in any order, hosts sorted."""
     out: list[Rule | None] = [None] * len(keys)
-    stack: list[Rule] = list(open_rules)
+    stack: list[HostRules] = []
     k, last = 0, None
     for i in sorted(range(len(keys)), key=keys.__getitem__):
         key, path = keys[i]
         if key != last:
-            while k < len(rules) and rules[k][0] <= key:
-                while stack and not rules[k][0].startswith(stack[-1][0]):
+            while k < len(hosts) and hosts[k].key <= key:
+                while stack and not hosts[k].key.startswith(stack[-1].key):
                     stack.pop()
-                stack.append(rules[k])
+                stack.append(hosts[k])
                 k += 1
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             last = key
         best = None
-        for rule in stack:
-            if path.startswith(rule[2]) and (best is None or (len(rule[1]) + len(rule[2]), len(rule[1])) > (len(best[1]) + len(best[2]), len(best[1]))):
+        for host in stack:
+            rule = host.longest(path)
+            if rule and (best is None or (len(rule[1]) + len(rule[2]), len(rule[1])) > (len(best[1]) + len(best[2]), len(best[1]))):
                 best = rule
         out[i] = best
     return out
@@ -109,32 +149,33 @@ def _map_side(rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = list(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()))
-            yield _judged(batch, sweep(keys, rules.value), 3)
+            some = [i for i, (k, _) in enumerate(keys) if k is not None]
+            found: list[Rule | None] = [None] * len(keys)
+            for i, rule in zip(some, sweep([keys[i] for i in some], rules.value)):
+                found[i] = rule
+            yield _judged(batch, found, 3)
 
-    return run
+    return trimmed(run)
 
 
 def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range and salt, each range's rules before its urls."""
-    at, rules, opened = None, [], []
+    """(row, host, path, verdict) of the probes that a rule fits; rows sorted by range, salt, key and kind, rules before probes."""
+    at, stack = None, []
     for batch in batches:
-        rows = batch.to_pylist()
-        lo = 0
-        while lo < len(rows):
-            spot = rows[lo]["range"], rows[lo]["salt"]
-            hi = lo
-            while hi < len(rows) and (rows[hi]["range"], rows[hi]["salt"]) == spot:
-                hi += 1
+        found = []
+        for r in batch.to_pylist():
+            spot = r["range"], r["salt"]
             if spot != at:
-                at, rules, opened = spot, [], []
-            for r in rows[lo:hi]:
-                if r["kind"] < 2:
-                    (opened, rules)[r["kind"]].append((r["key"], r["host"], r["path"], r["verdict"]))
-            urls = [i for i in range(lo, hi) if rows[i]["kind"] == 2]
-            if urls:
-                part = batch.take(pa.array(urls)).select(["page_id", "host", "path"])
-                yield _judged(part, sweep([(rows[i]["key"], rows[i]["path"]) for i in urls], rules, opened), 3)
-            lo = hi
+                at, stack = spot, []
+            key = r["key"]
+            while stack and not key.startswith(stack[-1]["key"]):
+                stack.pop()
+            if r["kind"] < 2:
+                stack.append(r)
+            elif stack:
+                found.append((r["row"], stack[-1]["host"], stack[-1]["path"], stack[-1]["verdict"]))
+        if found:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string(), pa.string()))], names=["row", "host", "path", "verdict"])
 
 
 def cut_rules(rules: DataFrame, range_rules: int) -> tuple[list[str], DataFrame]:
@@ -146,17 +187,16 @@ def cut_rules(rules: DataFrame, range_rules: int) -> tuple[list[str], DataFrame]
     starts = [r["k"] for r in firsts]
     numbers = spark.createDataFrame([(r["part"], i) for i, r in enumerate(firsts)], "part int, range int")
     own = ordered.join(F.broadcast(numbers), "part").select("key", "host", "path", "verdict", "range", F.lit(1).alias("kind"))
-    # rules open at a range's start have a prefix of its first key: at most one host per label
-    prefixes = spark.createDataFrame([(i, s[: j + 1]) for i, s in enumerate(starts) for j, c in enumerate(s[:-1]) if c == SEP], "range int, key string")
-    opened = ordered.join(F.broadcast(prefixes), "key").select("key", "host", "path", "verdict", "range", F.lit(0).alias("kind"))
+    # rules open at a range's start have a proper prefix of its first key
+    prefixes = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], "range int, start string").select("range", F.explode(F.transform(F.sequence(F.lit(1), F.length("start")), lambda n: F.substring("start", F.lit(1), n - 1))).alias("key"))
+    opened = ordered.join(prefixes, "key").select("key", "host", "path", "verdict", "range", F.lit(0).alias("kind"))
     return starts, opened.unionByName(own)
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", range_rules: int = RANGE_RULES, salt_urls: int = SALT_URLS) -> DataFrame:
     """page_id, host, path, rule (host and path, null where none fits), verdict of every row."""
     url = F.col(url_col).cast("string")
-    rows = urls.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("key", key_column(F.col("host")))
+    rows = urls.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.when(F.contains(url, F.lit("://")), key_column(host_of(url))).alias("key"))
     clean = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null")
     kind = rows.schema["page_id"].dataType.simpleString()
     out = f"page_id {kind}, host string, path string, rule string, verdict string"
@@ -172,18 +212,26 @@ def _range_join(rows: DataFrame, rules: DataFrame, out: str, kind: str, range_ru
     spark = rows.sparkSession
     host = F.translate("host", *_LOWER)
     once = rules.select(host.alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" > "allow"
-    starts, cut = cut_rules(once.withColumn("key", key_column(F.col("host"))), range_rules)
-    where = spark.sparkContext.broadcast(starts)
+    starts, cut = cut_rules(once.withColumn("key", F.concat(key_column(F.col("host")), F.lit(END), "path")), range_rules)
+    where = spark.sparkContext.broadcast(starts)  # one a range
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [max(0, bisect_right(where.value, k) - 1) for k in batch.column(3).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(at, pa.int32())], names=["page_id", "host", "path", "key", "range"])
-
-    placed = materialize(rows.mapInArrow(number, f"page_id {kind}, host string, path string, key string, range int"), "placed")
+            at = [max(0, bisect_right(where.value, k) - 1) for k in batch.column(1).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(at, pa.int32())], names=["row", "key", "range"])
+
+    urls = materialize(rows.select("page_id", "host", "path", F.col("key").isNotNull().alias("asked"), F.monotonically_increasing_id().alias("row")), "urls")
+    depth = F.explode(F.sequence(F.lit(1), F.size("labels")))
+    each = urls.where("asked").withColumn("labels", _labels(F.col("host"))).select("row", "path", "labels", depth.alias("depth"))
+    probes = each.select("row", F.concat(F.array_join(F.slice("labels", F.lit(1), F.col("depth")), SEP), F.lit(SEP + END), "path").alias("key"))
+    placed = materialize(probes.mapInArrow(number, "row long, key string, range int"), "probes")
     salts = placed.groupBy("range").agg(F.ceil(F.count("*") / salt_urls).cast("int").alias("salts"))
     salts = F.broadcast(materialize(salts, "salts"))  # one row a range
-    urls = placed.join(salts, "range").select("range", F.pmod(F.xxhash64("page_id", "path"), F.col("salts")).cast("int").alias("salt"), F.lit(2).alias("kind"), "key", "host", "path", F.lit(None).cast("string").alias("verdict"), "page_id")
-    spread = cut.join(salts, "range").select("range", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "kind", "key", "host", "path", "verdict", F.lit(None).cast(kind).alias("page_id"))
-    both = spread.unionByName(urls).repartition("range", "salt").sortWithinPartitions("range", "salt", "kind", "key", "host", "path")
-    return both.mapInArrow(_ranged, out)
+    none = F.lit(None).cast("string")
+    asked = placed.join(salts, "range").select("range", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), "key", F.lit(2).alias("kind"), none.alias("host"), none.alias("path"), none.alias("verdict"), "row")
+    spread = cut.join(salts, "range").select("range", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "kind", "host", "path", "verdict", F.lit(None).cast("long").alias("row"))
+    both = spread.unionByName(asked).repartition("range", "salt").sortWithinPartitions("range", "salt", "key", "kind")
+    fits = both.mapInArrow(_ranged, "row long, host string, path string, verdict string")
+    length = F.struct(F.length("host") + F.length("path"), F.length("host"))
+    best = fits.groupBy("row").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), length).alias("best"))
+    return urls.join(best, "row", "left").select("page_id", "host", "path", "best.rule", "best.verdict")
