@@ -17,8 +17,9 @@ single-precision products of them are exact.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component link with nothing, nor do those with a null label; vectors of unlike length
-don't link. Rows that repeat a vec_id count as one vector, the least by label and
-components, and give one row. A null vec_id gives a row without links and with a null
+don't link. Rows that repeat a vec_id count as one vector and give one row; of those
+that can link, the one with the least label, then hashes of its components, counts, so
+a row that can't link takes nothing from another. A null vec_id gives a row without links and with a null
 component for each row. Other columns are ignored. An empty table gives an empty
 result.
 """
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hot import join_by_count
-from ._store import materialize
+from ._store import dispose, materialize, trimmed
 from .components import connected_components, min_labels
 
 #: Classes of one cell.
 CELL_ROWS = 8192
+#: Groups of several cells that a broadcast may hold (12 bytes each); beyond, the join shuffles.
+BROADCAST_GROUPS = 1_000_000
 #: Rows of a tile's block of products.
 BLOCK = 256
 #: Dimensions whose products are summed at once in single precision.
@@ -149,7 +152,7 @@ def _tile(threshold: float):
         if held:
             yield done(held)
 
-    return run
+    return trimmed(run)
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -158,42 +161,47 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.when(fine, F.col(vector_col)).alias("v"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_rows: int = CELL_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold is above 0 and at most 1")
     rows = _clean(vectors, id_col, vector_col, label_col)
     hashes = (F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))
-    members = rows.where("vec_id is not null").select("vec_id", F.struct("label", F.when(F.col("v").isNotNull(), hashes[0]).alias("h1"), F.when(F.col("v").isNotNull(), hashes[1]).alias("h2"), F.size("v").alias("dims")).alias("s"))
+    idle = F.col("label").isNull() | F.col("v").isNull()
+    members = rows.where("vec_id is not null").select("vec_id", F.struct(idle.alias("idle"), "label", F.when(F.col("v").isNotNull(), hashes[0]).alias("h1"), F.when(F.col("v").isNotNull(), hashes[1]).alias("h2"), F.size("v").alias("dims")).alias("s"))
     members = materialize(members.groupBy("vec_id").agg(F.min("s").alias("s")).select("vec_id", "s.*"), "members")
-    linkable = members.where("label is not null and h1 is not null")
+    linkable = members.where("not idle")
     keys = ["label", "h1", "h2", "dims"]
     classes = materialize(linkable.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "classes")
     own = rows.select(F.col("vec_id").alias("rep"), "label", "v", hashes[0].alias("h1"), hashes[1].alias("h2")).where("v is not null")
     reps = own.join(classes, ["rep", "label", "h1", "h2"]).dropDuplicates(["rep"])
     reps = materialize(reps.select("rep", "mult", "v", F.xxhash64("label", "dims").alias("group")), "vectors")
-    tiles = _tiles_of(reps, threshold, cell_rows)
+    tiles = _tiles_of(reps, cell_rows, broadcast_groups)
     linked = materialize(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile(threshold), "rep long, links long, root long"), "linked")
+    dispose(reps)
 
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     forest = connected_components(linked.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     answers = classes.join(counts, "rep", "left").join(forest.withColumnRenamed("id", "rep"), "rep", "left")
     answers = answers.select(*keys, "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     found = join_by_count(linkable, answers, keys, "mult", linkable.count()).select("vec_id", "n_links", "component_id")
-    alone = members.where("label is null or h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = members.where("idle").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     nameless = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     every = found.unionByName(alone).unionByName(nameless)
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _tiles_of(reps: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
-    """tile, side, rep, mult, v: the vectors of both cells of every pair of cells that may link."""
-    sizes = reps.groupBy("group").agg(F.count("*").alias("n"))
-    parts = sizes.select("group", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
-    placed = reps.join(F.broadcast(parts), "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+def _tiles_of(reps: DataFrame, cell_rows: int, broadcast_groups: int) -> DataFrame:
+    """tile, side, rep, mult, v: the vectors of both cells of every pair of cells of a group."""
+    sizes = reps.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+    parts = materialize(sizes.select("group", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")), "parts")
+    few = parts.count() <= broadcast_groups  # a group of several cells has more than cell_rows vectors
+    placed = reps.join(F.broadcast(parts) if few else parts, "group", "left")
+    large = placed.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     cells = parts.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     meets = cells.alias("a").join(cells.alias("b"), "group").where("b.part >= a.part").select("group", F.col("a.part").alias("p1"), F.col("b.part").alias("p2"))
     tile = F.xxhash64("group", "p1", "p2")
     left = meets.select("group", F.col("p1").alias("part"), tile.alias("tile"), F.when(F.col("p1") == F.col("p2"), F.lit(SELF)).otherwise(F.lit(0)).alias("side"))
     right = meets.where("p1 <> p2").select("group", F.col("p2").alias("part"), tile.alias("tile"), F.lit(1).alias("side"))
-    return placed.join(left.unionByName(right), ["group", "part"]).select("tile", "side", "rep", "mult", "v")
+    whole = placed.where("parts is null").select(F.xxhash64("group").alias("tile"), F.lit(SELF).alias("side"), "rep", "mult", "v")
+    return whole.unionByName(large.join(left.unionByName(right), ["group", "part"]).select("tile", "side", "rep", "mult", "v"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -97,12 +98,14 @@ def test_url_rules(spark):
     rng = random.Random(1)
     labels = ["a", "b", "com", "org", "a-b", ""]
     rules = [(".".join(rng.choices(labels, k=rng.randint(1, 3))), rng.choice(["", "/", "/x", "/x/y"]), rng.choice(["allow", "block"])) for _ in range(60)] + [(None, "/", "block"), ("com", None, "allow")]
-    urls = [f"http://{'.'.join(rng.choices(labels, k=rng.randint(1, 4)))}{rng.choice(['', '/', '/x', '/x/y/z?q=/x', '#f'])}" for _ in range(300)] + [None, "", "no host", "X://A.COM/x", "x://a://b/", "\nhttp://COM/\n?"]
+    urls = [f"http://{'.'.join(rng.choices(labels, k=rng.randint(1, 4)))}{rng.choice(['', '/', '/x', '/x/y/z?q=/x', '#f'])}" for _ in range(300)] + [None, "", "no host", "X://A.COM/x", "x://a://b/", "\nhttp://COM/\n?", "x://", "x://evil\x01.org/", "x://evil.org\x01a.b/", "x://b.evil\x02.org/x", "x://\x02.\x01/x/y", "x://many.com/p/0/1/22", "x://sub.many.com/p/0/1/2/3/4"]
+    rules += [("", "", "block"), ("evil.org", "", "block"), ("org", "", "block"), ("\x01", "/x", "block"), ("evil\x02.org", "/", "allow"), ("\x01.org", "/", "allow"), ("MANY.com", "/p", "block")]
+    rules += [("many.com", "/p" + "".join(f"/{x}" for x in rng.choices(range(3), k=rng.randint(1, 5))), rng.choice(["allow", "block"])) for _ in range(40)]
     pages = table(spark, [(i, u) for i, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])], "page_id long, url string")
     best = {}
     for h, p, v in rules:
-        if h is not None and p is not None and best.get((h, p)) != "block":
-            best[h, p] = v
+        if h is not None and p is not None and best.get((h.lower(), p)) != "block":
+            best[h.lower(), p] = v
 
     def judge(url):
         head, sep, rest = (url or "").partition("://")
@@ -120,6 +123,10 @@ def test_url_rules(spark):
     for size, salt in ((1000, 10), (7, 20)):
         assert sorted(str(tuple(r)) for r in url_filter.judge(pages, frame, range_rules=size, salt_urls=salt).collect()) == want
     assert url_filter.judge(pages.limit(0), frame).count() == 0
+    many = url_filter.sort_rules([("a.com", f"/{i}", "block") for i in range(100_000)])
+    began = time.time()
+    assert [r[2] for r in url_filter.sweep([(url_filter.host_key("x.a.com"), f"/{i}") for i in range(10_000)], many)] == [f"/{i}" for i in range(10_000)]
+    assert time.time() - began < 5  # not rule by rule
     assert {r["rule"] for r in url_filter.judge(pages, frame.limit(0), "block").collect()} == {None}
 
 
@@ -287,14 +294,15 @@ def test_embeddings(spark, cell_rows):
         v = base[i % 6] + rng.normal(size=16) * rng.choice([0, 0.05, 0.35])
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 5 != 0)))
     rows += [(200, None, 1), (201, [], 1), (202, [0.0] * 16, 1), (203, [float("nan")] * 16, 1), (204, [None] + [1.0] * 15, 1), (205, rows[1][1], None), (206, [x * 1e30 for x in rows[1][1]], 1), (207, rows[1][1][:8], 1), (208, [float("inf")] * 16, 1)]
-    extra = [(None, rows[1][1], 1), (1, rows[1][1], 1)]
+    extra = [(None, rows[1][1], 1), (1, rows[1][1], 1), (1, rows[1][1], None), (1, None, 1), (2, [0.0] * 16, 0), (3, [None] * 16, None)]
     df = table(spark, rows + extra, "vec_id long, embedding array<float>, label int")
     fine = {i: (np.float64(np.float32(v)), g) for i, v, g in rows if v and g is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     edges = [(a, b) for a in fine for b in fine if a < b and fine[a][1] == fine[b][1] and len(fine[a][0]) == len(fine[b][0]) and fine[a][0] @ fine[b][0] / np.sqrt((fine[a][0] @ fine[a][0]) * (fine[b][0] @ fine[b][0])) >= 0.93]
     comp, n = components([r[0] for r in rows], edges), Counter(x for e in edges for x in e)
     want = sorted(str((i, n[i], comp[i], comp[i] == i)) for i, _, _ in rows) + [str((None, 0, None, False))]
-    got = embedding_dedup.near_duplicates(df, 0.93, cell_rows=cell_rows)
-    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
+    for groups in (0, 1000):
+        got = embedding_dedup.near_duplicates(df, 0.93, cell_rows=cell_rows, broadcast_groups=groups)
+        assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
     assert len(edges) > 100
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
@@ -416,21 +424,75 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and {100, 101, 102}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() >= 82
 
 
+def _plain_language_model(rows, words, grams, max_n=5):
+    """{language: [{gram: log frequency} for words and n = 1, 2, ...]} of (text, lang) rows, with each table's floor."""
+    found = {}
+    for lang in sorted({g for t, g in rows if g is not None and t is not None}):
+        tables = [Counter() for _ in range(max_n + 1)]
+        for text, g in rows:
+            for w in language_id.words_of(text or "") if g == lang else ():
+                tables[0][w] += 1
+                for n in range(1, max_n + 1):
+                    tables[n].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+        found[lang] = tables
+    size = {0: max(1, words // len(found))} | {n: max(1, grams // len(found)) for n in range(1, max_n + 1)}
+    floor = [min(-np.log(t[n].total()) - 2 for t in found.values() if t[n]) for n in range(max_n + 1)]
+    kept = {g: [{w: np.log(c / t.total()) for w, c in sorted(t.items(), key=lambda x: (-x[1], x[0]))[: size[n]] if c > 1} for n, t in enumerate(tables)] for g, tables in found.items()}
+    return kept, floor
+
+
+def _plain_language(model, floor, text):
+    langs = list(model)
+
+    def likelihood(w):
+        if any(w in model[g][0] for g in langs):
+            return [model[g][0].get(w, floor[0]) for g in langs]
+        for n in range(5, 0, -1):
+            grams = [x for i in range(len(w) + 3 - n) if (x := f" {w} "[i : i + n]) and any(x in model[g][n] for g in langs)]
+            if grams:
+                return [sum(model[g][n].get(x, floor[n]) for x in grams) / len(grams) for g in langs]
+        return [0.0] * len(langs)
+
+    found = [likelihood(w) for w in language_id.words_of(text or "")]
+    if not found or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    total = [sum(x[k] for x in found) for k in range(len(langs))]
+    best = total.index(max(total))
+    shares = [np.exp(x[best]) / sum(np.exp(y) for y in x) for x in found]
+    return langs[best], sum(shares) / len(shares)
+
+
+@pytest.mark.parametrize(("words", "grams"), [(200_000, 100_000), (30, 60)])
+def test_language_id_brute_force(spark, words, grams, monkeypatch):
+    rng = random.Random(11)
+    parts = {"de": ["sch", "ung", "ein", "der", "ö", "ß"], "fr": ["eau", "tion", "é", "le", "qu"], "tr": ["İ", "ığı", "lar", "ş", "ne"]}
+    vocab = {g: ["".join(rng.choices(p, k=rng.randint(1, 4))) for _ in range(60)] for g, p in parts.items()}
+    rows = [(i, " ".join(rng.choices(vocab[g] + vocab[rng.choice(list(parts))][:20], k=rng.randint(0, 40))).title(), g) for i in range(150) for g in [rng.choice(list(parts))]]
+    rows += [(1000, None, "de"), (1001, "", "fr"), (1002, "12 ² _ !?", "tr"), (1003, "zzz qqq", None), (1004, "É" * 500 + " unge", None), (1005, "a1b_c²d\u0130", None), (None, "eau le", "fr"), (7, rows[7][1], rows[7][2])]
+    docs = table(spark, rows, "doc_id long, text string, lang string")
+    import zlib
+
+    known = [(t, g) for i, t, g in rows if i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    model, floor = _plain_language_model(known, words, grams)
+    want = sorted(((i, *_plain_language(model, floor, t)) for i, t, _ in rows), key=str)
+    fitted = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), words=words, grams=grams)
+    for size in (1 << 18, 50):
+        monkeypatch.setattr(language_id, "CHUNK_CHARS", size)
+        langs, scores = language_id.Predictor(fitted).predict([t for _, t, _ in rows])
+        got = sorted(((i, g, x) for (i, _, _), g, x in zip(rows, langs, scores.tolist())), key=str)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(docs, words=words, grams=grams).collect()), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
 def test_language_id_words_first():
     m = language_id.Model(["a", "b"], np.log([[0.5, 0.1], [0.2, 0.4], [0.1, 0.6]]), {"ab": 0}, [{"c": 2}, {"ab": 1}])
     assert m.score("ab") == pytest.approx(np.log([0.5, 0.1]))
     assert m.score("abc") == pytest.approx(np.log([0.2, 0.4]))
     assert m.score("xcx") == pytest.approx(np.log([0.1, 0.6]))
     assert m.score("zz").tolist() == [0, 0]
-
-
-def test_language_id_text_beyond_the_cache():
-    m = language_id.Model(["a", "b"], np.log([[0.5, 0.1], [0.1, 0.6]]), {"ab": 0, "cd": 1}, [{}])
-    texts = ["ab cd", "ab ab ee ff gg hh", "cd", "ii jj kk ll cd cd mm", "ab"]
-    small, large = language_id.Predictor(m, cache_words=3), language_id.Predictor(m)
-    got = [small.predict(t) for t in texts]
-    assert [g for g, _ in got] == ["b", "a", "b", "b", "a"]
-    assert got == [large.predict(t) for t in texts]
+    assert language_id.Predictor(m).predict(["ab", "abc", "xcx", "zz", None, "7"])[0] == ["a", "b", "b", "a", "und", "und"]
+    assert language_id.Predictor(language_id.Model([])).predict(["ab", None])[0] == ["und", "und"]
 
 
 # -- 10 -------------------------------------------------------------------------------
