@@ -3,7 +3,9 @@
 *Writing.* Every record is a gzip member of its own. Of records with equal payloads
 of at least ``min_bytes``, that with the smallest page_id is a response and the
 others revisit it; they keep the HTTP header, whose Content-Length is that of the
-full payload, and name the response. Only digests are shuffled to find them out.
+full payload, and name the response. Only digests are shuffled to find them out; the
+list of revisits then joins the pages, which shuffles them once where Spark finds that
+list too large to broadcast.
 
 *Reading.* Files are cut into byte ranges without regard to records. A range's task
 looks for gzip's magic bytes, takes a place as a member's start only if its header
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._hot import join_by_count
-from ._store import materialize, new_path
+from ._store import dispose, materialize, new_path, trimmed
 
 #: Bytes of one range of a reader's task.
 RANGE_BYTES = 32 << 20
+#: Ranges of one task, where they are many.
+TASK_RANGES = 16
 #: Records of one archive file.
 FILE_RECORDS = 20_000
 #: Uncompressed bytes of one archive file, but for its last record.
@@ -173,41 +177,53 @@ class _Window:
             self.data = self.data[before - self.start :]
             self.start = before
 
+    def inflate(self, at: int) -> tuple[bytes, int] | None:
+        """(what the member that starts at a place inflates to, its end), or nothing; pieces are dropped once they are fed."""
+        out, d, place = [], zlib.decompressobj(31), at
+        piece = self.data[at - self.start :]
+        try:
+            while True:
+                out.append(d.decompress(piece))
+                place += len(piece) - len(d.unused_data)
+                if d.eof:
+                    break
+                self.file.seek(place)
+                piece = self.file.read(min(self.step, self.size - place))
+                if not piece:
+                    return None  # the file ends within it
+        except zlib.error:
+            return None
+        if place > self.start + len(self.data):
+            self.start, self.data = place, b""
+        return b"".join(out), place
+
 
 def read_range(file: pa.NativeFile, lo: int, hi: int, size: int) -> Iterator[tuple[int, bytes]]:
     """(place, inflated bytes) of the members that start in lo..hi-1."""
     w, at = _Window(file, lo, size), lo
     while at < min(hi, size):
         w.upto(min(at + 8192, size))
-        found = w.data.find(_MAGIC, at - w.start)
-        if found < 0:
+        spot = w.data.find(_MAGIC, at - w.start)
+        if spot < 0:
             at = max(at, w.start + len(w.data) - 2)
             if w.start + len(w.data) >= size:
                 return
             w.upto(min(at + w.step, size))
             w.forget(at)
             continue
-        at = w.start + found
+        at = w.start + spot
         if at >= hi:
             return
         w.upto(min(at + 8192, size))
-        if len(w.data) - found < 18 or not _candidate(w.data, found):
+        if len(w.data) - spot < 18 or not _candidate(w.data, spot):
             at += 1
             continue
-        out, d, place = [], zlib.decompressobj(31), at
-        try:
-            while not d.eof:
-                w.upto(min(place + 1, size))
-                piece = w.data[place - w.start :]
-                if not piece:
-                    raise zlib.error("the file ends within a member")
-                out.append(d.decompress(piece))
-                place += len(piece) - len(d.unused_data)
-        except zlib.error:
+        found = w.inflate(at)
+        if found is None:
             at += 1
             continue
-        yield at, b"".join(out)
-        at = place
+        yield at, found[0]
+        at = found[1]
         w.forget(at)
 
 
@@ -257,8 +273,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, range_bytes:
     """The records of all .warc.gz files below a folder, one row each."""
     ranges = _ranges(spark, path, range_bytes)
     schema = _RECORD if payload else _RECORD.rpartition(",")[0]
-    many = max(1, ranges.count())
-    return ranges.repartition(many).mapInArrow(_read(payload), schema)
+    many = ranges.count()
+    each = min(TASK_RANGES, max(1, many // (4 * spark.sparkContext.defaultParallelism)))
+    return ranges.repartition(max(1, -(-many // each))).mapInArrow(trimmed(_read(payload)), schema)
 
 
 # -- writing -----------------------------------------------------------------------
@@ -279,7 +296,9 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = seen.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("times")).where("times > 1")
     first = materialize(first, "repeated")
     found = join_by_count(seen, first, ["sha1"], "times", seen.count())
-    return found.where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
+    found = materialize(found.where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct(), "revisits")
+    dispose(seen, first)
+    return found
 
 
 def _write(folder: str):
@@ -320,9 +339,9 @@ def _write(folder: str):
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, revisit_of: DataFrame | None = None) -> int:
     """Writes a record per row of ``pages`` (page_id, url, html) to .warc.gz files; gives their number."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    again = materialize(revisits(pages, min_bytes), "revisits") if revisit_of is None else revisit_of
+    again = revisits(pages, min_bytes) if revisit_of is None else revisit_of
     marked = pages.withColumn("sha1", _sha1()).join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
-    return marked.mapInArrow(_write(_uri(folder)), "file string, records long").agg(F.sum("records")).first()[0] or 0
+    return marked.mapInArrow(trimmed(_write(_uri(folder))), "file string, records long").agg(F.sum("records")).first()[0] or 0
 
 
 def archive_digest(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

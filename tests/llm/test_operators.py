@@ -80,6 +80,19 @@ def test_warc_passes_over_what_is_no_member(tmp_path):
             assert sorted(at for lo in range(0, size, step) for at, _ in warc.read_range(f, lo, min(size, lo + step), size)) == [len(fake), len(fake) + len(good) + 4]
 
 
+def test_warc_long_members_are_read_once(tmp_path):
+    page = random.Random(4).randbytes(48 << 20)  # doesn't deflate
+    one, two = (warc.member(warc.record_bytes(i, None, p, warc.payload_digest(p), None)) for i, p in ((1, page), (2, b"short")))
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(one + two + one[: 20 << 20])
+    size, began = path.stat().st_size, time.time()
+    with warc.open_file(str(path)) as f:
+        found = list(warc.read_range(f, 0, size, size))
+        assert [at for at, _ in found] == [0, len(one)]
+        assert [at for at, _ in warc.read_range(f, 5, len(one) + 1, size)] == [len(one)]
+    assert warc.record_row(found[0][1])["payload"] == page and time.time() - began < 20
+
+
 def test_warc_measures_payloads():
     page = b"some page" * 9
     good = warc.record_bytes(1, "u", page, warc.payload_digest(page), None)
