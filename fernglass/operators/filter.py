@@ -6,7 +6,8 @@ All fields must hold; an empty filter matches every row. A dotted name is a path
 
 Decisions: a null literal equals null and missing; ``$ne`` and ``$nin`` are total
 negations, so they keep null and missing; a literal of another type than the value
-matches nothing; an object or list as a range operand matches nothing. Raised:
+matches nothing; an object or list as a range operand matches nothing. Objects are
+equal whatever the order of their keys, and numbers in them by value. Raised:
 operators at the top level, unknown ``$`` names, operators mixed with plain keys,
 a root that isn't an object, a non-list for ``$in`` and ``$nin``, repeated keys,
 numbers that overflow a double.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,11 +85,25 @@ def check_filter(found: object) -> dict:
     return found
 
 
+def same_json(v: Column, value: object) -> Column:
+    """Whether a VARIANT is a JSON value; null where it is of another type."""
+    if value is None:
+        return F.is_variant_null(v)
+    if isinstance(value, list):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return reduce(lambda a, b: a & b, [same_json(F.get(items, F.lit(i)), x) for i, x in enumerate(value)], F.size(items) == len(value))
+    if isinstance(value, dict):
+        held = F.try_variant_get(v, "$", "map<string,variant>")
+        own = [F.map_contains_key(held, k) & same_json(F.try_element_at(held, F.lit(k)), x) for k, x in value.items()]
+        return reduce(lambda a, b: a & b, own, F.size(held) == len(value))
+    return compare_variant(v, "eq", value)
+
+
 class _Field:
-    """A resolved field: a typed column, a VARIANT, or nothing."""
+    """A resolved field: a typed column, a VARIANT (by a path below a root column), or nothing."""
 
-    def __init__(self, column: Column | None, kind: T.DataType | None):
-        self.column, self.kind = column, kind
+    def __init__(self, column: Column | None, kind: T.DataType | None, root: Column | None = None, path: tuple[str, ...] = ()):
+        self.column, self.kind, self.root, self.path = column, kind, root, path
 
     def equals(self, value: object) -> Column:
         """Equality that is never null where the column has a value."""
@@ -110,9 +126,7 @@ class _Field:
             held = F.to_variant_object(self.column)
         else:
             return never()
-        wanted = F.to_json(F.parse_json(F.lit(json.dumps(value))))
-        shape = "^ARRAY" if isinstance(value, list) else "^OBJECT"
-        return F.coalesce(F.schema_of_variant(held).rlike(shape) & (F.to_json(held) == wanted), never())
+        return F.coalesce(F.exists(F.array(held), lambda v: same_json(v, value)), never())
 
     def range(self, op: str, value: object) -> Column:
         if self.column is None or value is None or isinstance(value, (bool, dict, list)):
@@ -172,39 +186,67 @@ def resolve(df: DataFrame, name: str, variant: str | None = None, literal_keys:
     column: Column | None = None
     for i, part in enumerate(parts):
         if isinstance(kind, T.VariantType):
-            return _Field(_variant_get(column, parts[i:]), T.VariantType())
+            return _inside(column, parts[i:])
         names = kind.fieldNames() if isinstance(kind, T.StructType) else []
         if part not in names:
             if i == 0 and variant is not None:
-                return _Field(_variant_get(df[_quoted(variant)], parts), T.VariantType())
+                return _inside(df[_quoted(variant)], parts)
             return _Field(None, None)
         kind = kind[part].dataType
         column = df[_quoted(part)] if column is None else column.getField(part)
-    return _Field(column, kind)
+    return _inside(column, []) if isinstance(kind, T.VariantType) else _Field(column, kind)
+
+
+def _inside(root: Column, parts: list[str]) -> _Field:
+    return _Field(variant_get(root, parts), T.VariantType(), root, tuple(parts))
+
+
+def variant_get(v: Column, parts: list[str] | tuple[str, ...], kind: str = "variant") -> Column:
+    """What lies below a path of keys, of any characters."""
+    if not parts:
+        return v if kind == "variant" else F.try_variant_get(v, "$", kind)
+    if any(c in p for p in parts for c in "\"'\\]"):  # no path can name such a key
+        inner = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(parts[0]))
+        return variant_get(inner, parts[1:], kind)
+    return F.try_variant_get(v, variant_path(parts), kind)
 
 
-def _variant_get(v: Column, parts: list[str]) -> Column:
-    if any('"' in p or "'" in p or "\\" in p or "]" in p for p in parts):  # no path can name such a key
-        return F.lit(None).cast("variant")
-    return F.try_variant_get(v, variant_path(parts), "variant")
+def _conditions(field: _Field, value: object) -> Column:
+    """All that a filter asks of a field."""
+    if not (isinstance(value, dict) and any(k.startswith("$") for k in value)):
+        return field.equals(value)
+    parts = []
+    for op, operand in value.items():
+        if op in RANGE:
+            parts.append(field.range(RANGE[op], operand))
+        elif op == "$ne":
+            parts.append(field.differs(operand))
+        else:
+            parts.append(field.among(operand) if op == "$in" else field.outside(operand))
+    return reduce(lambda a, b: a & b, parts)
 
 
 def compile_filter(df: DataFrame, query: dict | str, variant: str | None = None, literal_keys: bool = False) -> Column:
     """The condition that a filter states over the columns of ``df``."""
     found = parse_filter(query) if isinstance(query, str) else check_filter(query)
-    parts = []
+    parts: list[Column] = []
+    inside: dict[str, tuple[Column, list[tuple[tuple[str, ...], object]]]] = {}
     for name, value in found.items():
         field = resolve(df, name, variant, literal_keys)
-        if not (isinstance(value, dict) and any(k.startswith("$") for k in value)):
-            parts.append(field.equals(value))
-            continue
-        for op, operand in value.items():
-            if op in RANGE:
-                parts.append(field.range(RANGE[op], operand))
-            elif op == "$ne":
-                parts.append(field.differs(operand))
-            else:
-                parts.append(field.among(operand) if op == "$in" else field.outside(operand))
+        if field.root is None:
+            parts.append(_conditions(field, value))
+        else:
+            inside.setdefault(str(field.root), (field.root, []))[1].append((field.path, value))
+
+    def once(v: Column, path: tuple[str, ...], value: object) -> Column:
+        # bound by a lambda, so that a field is extracted, and the JSON below it parsed, a single time
+        return F.exists(F.array(variant_get(v, path)), lambda x: _conditions(_Field(x, T.VariantType()), value))
+
+    def every(asked: list[tuple[tuple[str, ...], object]]) -> Callable[[Column], Column]:
+        return lambda v: reduce(lambda a, b: a & b, [once(v, path, value) for path, value in asked])
+
+    for root, asked in inside.values():
+        parts.append(F.exists(F.array(root), every(asked)))
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernglass.operators.filter import variant_get
+
 DOC = "doc"
 
 
@@ -13,8 +15,7 @@ def parse_documents(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
     Lines that aren't JSON objects, or repeat a key, are left out (see ``rejected``).
     """
-    doc = F.try_parse_json(F.col(text_col))
-    rows = lines.select(doc.alias(DOC)).where(F.schema_of_variant(DOC).startswith("OBJECT"))
+    rows = lines.select(F.try_parse_json(F.col(text_col)).alias(DOC)).where(F.schema_of_variant(DOC).startswith("OBJECT"))
     return rows.select(F.to_json(F.try_variant_get(DOC, "$._id", "variant")).alias("_id"), DOC)
 
 
@@ -36,9 +37,9 @@ def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def has_field(name: str) -> Column:
     """Whether a document has the field, be its value null."""
-    return F.try_variant_get(DOC, f'$["{name}"]', "variant").isNotNull()
+    return variant_get(F.col(DOC), [name]).isNotNull()
 
 
 def shred(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     """``docs`` with typed columns for hot fields, so that filters on them reach the scan once written."""
-    return docs.withColumns({name: F.try_variant_get(DOC, f'$["{name}"]', kind) for name, kind in fields.items()})
+    return docs.withColumns({name: variant_get(F.col(DOC), [name], kind) for name, kind in fields.items()})

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fernglass.errors import FilterError
+from fernglass.errors import FilterError, OptionError
 from fernglass.operators.collection import Collection, FindOptions
 from fernglass.operators.filter import check_filter, find, parse_filter
 from fernglass.sources.documents import has_field, parse_documents, rejected, shred
@@ -26,7 +26,7 @@ def docs(spark):
     ("query", "ids"),
     [
         ({"a": 3}, [1]), ({"a": 3.0}, [1]), ({"a": 1}, [6]), ({"a": "7"}, [8]), ({"a": True}, [9]), ({"a": None}, [10, 11, 16]), ({"a": {}}, [12]), ({"a": []}, [13]),
-        ({"a": [3, "x"]}, [14]), ({"a": {"c": [1], "b": 3}}, [15]), ({"a.b": 3}, [15]), ({"a": {"$lt": 3}}, [2, 6]), ({"a": {"$lte": 3}}, [1, 2, 6]), ({"a": {"$gt": 7}}, [3, 4, 5]),
+        ({"a": [3, "x"]}, [14]), ({"a": [3e0, "x"]}, [14]), ({"a": ["x", 3]}, []), ({"a": [3]}, []), ({"a": {"b": 3.0, "c": [1.0]}}, [15]), ({"a": {"b": 3}}, []), ({"a": {"b": 3, "c": [None]}}, []), ({"a": {"c": [1], "b": 3}}, [15]), ({"a.b": 3}, [15]), ({"a": {"$lt": 3}}, [2, 6]), ({"a": {"$lte": 3}}, [1, 2, 6]), ({"a": {"$gt": 7}}, [3, 4, 5]),
         ({"a": {"$gte": 9007199254740993}}, [3, 4]), ({"a": {"$gt": 9007199254740993}}, [4]), ({"a": {"$gte": 7.3}}, [3, 4, 5]), ({"a": {"$gte": "7"}}, [7, 8]), ({"a": {"$lt": {}}}, []),
         ({"a": {"$ne": 3}}, [2, *range(3, 17)]), ({"a": {"$in": [3, "x", None]}}, [1, 7, 10, 11, 16]), ({"a": {"$nin": [3, None]}}, [2, 3, 4, 5, 6, 7, 8, 9, 12, 13, 14, 15]), ({"a": {"$in": []}}, []),
         ({"a": {"$gt": 0, "$lt": 5}}, [1, 6]), ({}, list(range(1, 17))), ({"missing": {"$ne": 1}}, list(range(1, 17))), ({"_id": {"$lte": "1"}, "a": 3}, [1]),
@@ -100,3 +100,43 @@ def test_collection(spark):
     assert (done.matched, sorted(r["i"] for r in done.collection.rows.collect())) == (2, [1, 20, 30])
     assert c.delete({"s": "b"}).count({}) == 1
     assert c.insert(spark.createDataFrame([(4,)], "i int")).count({"s": None}) == 1
+
+
+def test_keys_of_any_characters(spark):
+    keys = ['a"b', "a'b", "a]b", "a\\b", "a b", "$.a", ""]
+    lines = spark.createDataFrame([(json.dumps({"_id": i, k: i, "in": {k: {"x": i}}}),) for i, k in enumerate(keys)], "value string")
+    docs = parse_documents(lines)
+    for i, k in enumerate(keys):
+        assert [r["_id"] for r in docs.where(has_field(k)).collect()] == [str(i)]
+        assert [r["_id"] for r in shred(docs, {k: "int"}).where(F.col(f"`{k}`") == i).collect()] == [str(i)] if k else True
+        if not k.startswith("$"):
+            assert [r["_id"] for r in find(docs, {k: i}, variant="doc", literal_keys=True).collect()] == [str(i)]
+        if "." not in k:
+            assert [r["_id"] for r in find(docs, {f"in.{k}.x": i}, variant="doc").collect()] == [str(i)]
+
+
+def test_collection_of_documents(docs):
+    c = Collection(docs, "doc")
+    ids = lambda rows: [int(r["_id"]) for r in rows.collect()]
+    assert ids(c.find({"_id": {"$in": ["2", "3", "4", "5", "7", "8", "9", "10"]}}, FindOptions(order_by=(("doc.a", True),)))) == [10, 2, 5, 3, 4, 8, 7, 9]
+    assert ids(c.find({"a": {"$gt": 3}}, FindOptions(order_by=(("a", False),), skip=1, limit=2))) == [3, 5]
+    assert [r["a.b"] for r in c.find({"a.b": 3}, FindOptions(select=("a.b",))).select(F.col("`a.b`").cast("int").alias("a.b")).collect()] == [3]
+    done = c.update({"a": 3}, {"a": {"new": [1, None]}, "x.y": F.lit("z")})
+    assert done.matched == 1 and done.collection.count({"a": {"new": [1, None]}, "x": {"y": "z"}}) == 1 and done.collection.count({}) == 16
+    assert done.collection.count({"x.y": None}) == 15
+    deep = c.update({"a.b": 3}, {"a.c": F.array(F.lit(5)), "a.b": None}).collection
+    assert deep.count({"a": {"b": None, "c": [5]}}) == 1
+    with pytest.raises(OptionError):
+        Collection(docs.select("_id")).update({}, {"none": 1})
+    with pytest.raises(OptionError):
+        Collection(docs.select("_id")).find({}, FindOptions(order_by=(("none", True),)))
+
+
+def test_stream_of_documents(spark, tmp_path):
+    from fernglass.streaming.documents import find_stream, read_document_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([*LINES, "no json"]))
+    query = find_stream(read_document_stream(spark, str(tmp_path / "in")), {"a": {"$gte": 7.3}}).select("_id").writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r[0] for r in spark.table("found").collect()) == ["3", "4", "5"]
