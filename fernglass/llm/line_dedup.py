@@ -1,13 +1,17 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's path in the tree is its number of tokens, then its first ``LEADING`` tokens;
-tokens with a digit are variable fields. Below the path, a line's template is its
-tokens with variable fields generalised. Lines of at least ``LONG`` tokens have, beside
-the template of all their tokens, four more: the tokens after the leading ones are cut
-into quarters, and each of these templates generalises one quarter, whatever it holds;
-so lines of one path that agree on the other three quarters share a template. Each
-line thus names its templates by itself (by 64-bit hashes), and no leaf of the tree is
-ever gathered in one place.
+A line's path in the tree is its number of tokens, then its first ``LEADING`` tokens.
+Its leaf holds templates: the line's tokens, in which those with a digit are variable
+fields, and, for lines of at least ``FIELDS`` tokens, up to four more, each of which
+generalises one part of the tokens after the leading ones, whatever it holds (a quarter
+of them, one token in short lines). So lines of a leaf that differ in one part share a
+template. Fields with digits are generalised only in lines with another token, and a
+part only where at least half of the line's tokens are left constant.
+
+Leaves are never gathered: a line names its templates by itself, by 64-bit hashes of
+path, constant tokens and the part's place, and templates are counted by those. What
+would make a leaf's template by one log line after another is thus the same for any
+order of lines.
 
 A template recurs if documents with different ids have it. All its lines go, but for
 those of the document with the smallest id, where the text stays once. Decisions per
@@ -38,12 +42,12 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._hot import join_by_count
-from ._store import materialize
+from ._store import materialize, small_batches, trimmed
 
 #: Leading tokens on the path to a leaf.
-LEADING = 3
-#: Tokens from which a line has templates with a generalised quarter.
-LONG = 16
+LEADING = 2
+#: Tokens from which a line has templates with a generalised part; of fewer, one is more than a fifth of the line.
+FIELDS = 5
 #: Recurring templates that are broadcast (16 bytes each).
 BROADCAST_TEMPLATES = 2_000_000
 
@@ -58,7 +62,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _INV)):
-            steps = np.full(max(n, 1 << 19), base, np.uint64)
+            steps = np.full(max(n, 1 << 18), base, np.uint64)
             steps[0] = 1
             _powers[name] = np.multiply.accumulate(steps)
     return _powers["up"], _powers["down"]
@@ -87,8 +91,10 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         z = np.zeros(0, np.int64)
         return lines, row, z, z.astype(np.uint64)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    h = np.where(digits[end] > digits[start], _WILD, h)
+    wild = digits[end] > digits[start]
     count = np.bincount(line, minlength=len(row))
+    wild &= (np.bincount(line[wild], minlength=len(row)) < count)[line]  # not in a line of nothing else
+    h = np.where(wild, _WILD, h)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     up, down = _power(len(h) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
@@ -97,12 +103,16 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     whole = (sums[a + n] - sums[a]) * down[a]
     salt = n.astype(np.uint64) * W._MULT
     at, keys = [some], [W.mix(whole + salt)]
-    long_ = np.flatnonzero(n >= LONG)
-    n, a, whole, salt = n[long_], a[long_], whole[long_], salt[long_]
+    wilds = np.concatenate([[0], np.cumsum(wild)])
+    more = np.flatnonzero(n >= FIELDS)
+    n, a, whole, salt = n[more], a[more], whole[more], salt[more]
+    free = wilds[a + n] - wilds[a]
     for q in range(4):
         lo, hi = a + LEADING + (n - LEADING) * q // 4, a + LEADING + (n - LEADING) * (q + 1) // 4
-        at.append(some[long_])
-        keys.append(W.mix((whole - (sums[hi] - sums[lo]) * down[a]) + salt + np.uint64(0xA5A5A5A5 + q)))
+        held = n - (hi - lo) - (free - (wilds[hi] - wilds[lo]))  # constant tokens
+        ok = np.flatnonzero((hi > lo) & (2 * held >= n))
+        at.append(some[more[ok]])
+        keys.append(W.mix((whole - (sums[hi] - sums[lo]) * down[a])[ok] + salt[ok] + np.uint64(0xA5A5A5A5 + q)))
     return lines, row, np.concatenate(at), np.concatenate(keys)
 
 
@@ -131,7 +141,7 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recurring_templates(docs: DataFrame) -> DataFrame:
     """(template, first, lines) of the templates that several of ``docs`` (doc_id, text) have."""
-    named = docs.where("doc_id is not null").mapInArrow(_name, "template long, first long, last long, lines long")
+    named = docs.where("doc_id is not null").mapInArrow(trimmed(_name), "template long, first long, last long, lines long")
     every = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("lines").alias("lines"))
     return every.where("first <> last").select("template", "first", "lines")
 
@@ -198,7 +208,7 @@ def _judge_broadcast(known, columns: int, column: int, counts: tuple[str, str, s
         for batch in batches:
             yield _rewritten(batch, columns, column, counts, lambda lo, row, line, key, doc: k.judge(line, key, doc, len(row)))
 
-    return run
+    return trimmed(run)
 
 
 def _rewritten(batch: pa.RecordBatch, columns: int, column: int, counts: tuple[str, str, str], goes_of) -> pa.RecordBatch:
@@ -230,7 +240,7 @@ def _judge_joined(columns: int, column: int, counts: tuple[str, str, str]):
 
             yield _rewritten(batch, columns, column, counts, goes_of)
 
-    return run
+    return trimmed(run)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +268,7 @@ def _fresh(name: str, columns: list[str]) -> str:
 
 def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str, str], broadcast_templates: int) -> DataFrame:
     """``docs`` with new texts, and columns named by ``counts``: lines, recurring and dropped ones."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = materialize(recurring_templates(rows), "templates")
     width, column = len(docs.columns), docs.columns.index(text_col)
@@ -268,11 +278,11 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str
     keyed = docs.withColumn(key, F.col(id_col).cast("long"))
     if known.count() <= broadcast_templates:
         t = known.select("template", "first").toArrow()
-        shared = spark.sparkContext.broadcast(_Known(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)))
+        shared = docs.sparkSession.sparkContext.broadcast(_Known(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)))
         return keyed.mapInArrow(_judge_broadcast(shared, width, column, counts), schema)
     h1, h2 = _text_hashes("text")
     hashed = rows.where("doc_id is not null").select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
-    lines = materialize(hashed.mapInArrow(_lines, "doc_id long, h1 long, h2 long, line long, template long"), "lines")
+    lines = materialize(hashed.mapInArrow(trimmed(_lines), "doc_id long, h1 long, h2 long, line long, template long"), "lines")
     hits = join_by_count(lines, known, ["template"], "lines", lines.count())
     marks = hits.select("doc_id", "h1", "h2", (F.col("line") * 2 + (F.col("first") != F.col("doc_id")).cast("long")).alias("mark"))
     m1, m2 = (_fresh(c, docs.columns) for c in ("__h1", "__h2"))
