@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a ``new_path`` that nothing reads any more."""
+    _delete(spark, path)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets go of finished jobs, so that Spark removes their shuffle files; for loops of many large jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dispose(*tables: DataFrame) -> None:
     """Remove materialized tables that nothing reads any more."""
     for table in tables:
@@ -67,6 +79,18 @@ def dispose(*tables: DataFrame) -> None:
         _delete(table.sparkSession, path)
 
 
+#: Bytes of an Arrow batch that goes to a worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a worker is sent at once by bytes, where the session allows more; rows of text may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower().removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:  # with another unit it is larger, or unbounded
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A mapInArrow function whose worker gives its free memory back at the end: workers outlive their tasks."""
 

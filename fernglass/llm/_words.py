@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the working memory of a worker.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches, trimmed
 from ._unicode import APOSTROPHE, LETTER, NUMBER, OTHER, SPACE, WHITE, class_table
 
 #: Characters per row of the scan.
@@ -294,16 +295,6 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
-    """This worker's encoder for a file, kept between batches and tasks."""
-    if (path, cache_pieces) not in _encoders:
-        _encoders[path, cache_pieces] = Encoder(path, cache_pieces)
-    return _encoders[path, cache_pieces]
-
-
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     lo, held = 0, 0
     for i, t in enumerate(texts):
@@ -317,7 +308,7 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _run(path: str, want: tuple[str, ...], cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, cache_pieces)
+        enc = Encoder(path, cache_pieces)  # for this task alone: workers stay, idle too
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in _groups(texts):
@@ -327,7 +318,7 @@ def _run(path: str, want: tuple[str, ...], cache_pieces: int):
                 made = {"ids": lambda: pa.ListArray.from_arrays(pa.array(size), pa.array(flat)), "offsets": lambda: pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([enc.offsets(i) for i in ids]))), "decoded": lambda: pa.array([enc.decode(i) for i in ids], pa.binary())}
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(made[w]() for w in want)], names=["doc_id", *want])
 
-    return run
+    return trimmed(run)
 
 
 _TYPES = {"ids": "array<int>", "offsets": "array<long>", "decoded": "binary"}
@@ -335,6 +326,7 @@ _TYPES = {"ids": "array<int>", "offsets": "array<long>", "decoded": "binary"}
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", want: tuple[str, ...] = ("ids", "offsets"), cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """doc_id with ids, offsets (first byte of each id) and, if wanted, decoded (the bytes that the ids give)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{w} {_TYPES[w]}" for w in want)])
     return docs.mapInArrow(_run(path, want, cache_pieces), schema)
@@ -345,11 +337,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = Encoder(path)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([enc.decode(i or []) for i in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return rows.mapInArrow(trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

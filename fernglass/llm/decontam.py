@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._hot import without
-from ._store import materialize
+from ._store import materialize, small_batches, trimmed
 
 #: Words of benchmark text in one broadcast (about 60 bytes of index each).
 CHUNK_WORDS = 1_000_000
@@ -125,7 +125,7 @@ def _count(index):
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["shingle", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def find_windows(ix: WindowIndex, sieve: np.ndarray, h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def _match(index, spans: bool):
                 cols += [pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(2), batch.column(3)]
             yield pa.record_batch(cols, names=["doc_id", "n_words", "n_hit", "items", "spans", "h1", "h2"][: len(cols)])
 
-    return run
+    return trimmed(run)
 
 
 def _item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_words: int) -> list[list[tuple[str, str]]]:
@@ -211,6 +211,7 @@ def _item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_words
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted item ids as strings) of every document row."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("decontam"), "text").alias("h2"))

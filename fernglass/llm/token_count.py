@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._store import small_batches, trimmed
 from ._unicode import APOSTROPHE, NUMBER, OTHER, SPACE, WHITE, class_table
 
 #: Frequent pre-tokens of the broadcast table (9 bytes a slot, at most half of them filled).
@@ -233,6 +234,7 @@ def frequent_lengths(texts: list[str], path: str, table_tokens: int = TABLE_TOKE
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", table_tokens: int = TABLE_TOKENS, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").take(sample_texts)
     table = rows.sparkSession.sparkContext.broadcast(frequent_lengths([r[0] for r in sample], path, table_tokens))
@@ -245,4 +247,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             size = np.diff(W.string_buffers(batch.column(1))[1])
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
