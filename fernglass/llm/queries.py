@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._hot import only_with
 from . import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, token_count, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,10 +36,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against the text of all documents that are labelled as good."""
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return cross_parsing.score(docs, only_with(docs, good, "doc_id"))
+    """Every document against the text of all others."""
+    return cross_parsing.score(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

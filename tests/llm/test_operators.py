@@ -168,55 +168,54 @@ def test_suffix_automaton_factors_greedily():
         assert cross_parsing.SuffixAutomaton(blocks).phrases([w if w < 3 else -(1 << 60) for w in words]) == n
 
 
-def test_cross_parsing(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choices(["a", "b", "C", "é", "d"], k=rng.randint(0, 60))) for _ in range(40)] + [None, "", " \n", "z " * 5000]
-    docs = table(spark, [(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (0, texts[0])], "doc_id long, text string")
-    got = cross_parsing.score(docs, docs.where("doc_id % 3 = 0"), shard_chars=1 << 30).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter([*range(44), None, 0])
-    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", cross_parsing._half(F.col("doc_id")).alias("h")).collect()}
+def _cross_parsed(rows, lengths):
+    """(id, words, phrases, reference words) of (id, text, mark) rows by brute force."""
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
-    for r in got:
-        words = lower("a b" if r["doc_id"] is None else texts[r["doc_id"]])
-        blocks = [lower(texts[i]) for i in range(0, 44, 3) if half[i] != half[r["doc_id"]]] + ([lower(texts[0])] if half[0] != half[r["doc_id"]] else [])
-        n = i = 0
-        while i < len(words):
-            i, n = i + max(1, _longest(words, i, blocks)) if len(words) < 100 else i + 1, n + 1
-        assert (r["n_words"], r["ref_words"]) == (len(words), sum(map(len, blocks)))
-        if len(words) < 100:
-            assert r["n_phrases"] == n
-        assert (r["score"] is None) == (not words)
-    assert {r["score"] for r in cross_parsing.score(docs, docs.limit(0)).collect()} == {None}
-    assert cross_parsing.score(docs.limit(0), docs).count() == 0
-    many = cross_parsing.score(docs, docs, shard_chars=50, block_chars=10)
-    assert many.count() == 46
-
-
-def test_longest_matches():
-    rng = random.Random(12)
-    flat = lambda rows: (np.array([w for r in rows for w in r], np.uint64), np.cumsum([0, *map(len, rows)]))
-    for n in (2, 3, 9):
-        for _ in range(150):
-            ref, docs = ([[rng.randrange(n) for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(0, 5))] for _ in range(2))
-            docs += ref[:1] + [r + r for r in ref[1:2]]
-            want = [_longest(d, i, ref) for d in docs for i in range(len(d))]
-            assert cross_parsing.longest_matches(*flat(docs), *flat(ref)).tolist() == want
-
-
-def test_cross_parsing_uses_all_shards(spark):
-    rng = random.Random(13)
-    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(20, 60))) for _ in range(40)]
-    texts += texts[:20]  # copies, of which about half lie in the other half of the reference
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(2)
-    want = sorted(map(tuple, cross_parsing.score(docs, docs, shard_chars=1 << 30).collect()))
-    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", cross_parsing._half(F.col("doc_id")).alias("h")).collect()}
-    for i, n, phrases, _, reference, _ in want:
-        blocks = [t.split() for j, t in enumerate(texts) if half[j] != half[i]]
-        number = [["abcdefgh".index(w) for w in b] for b in blocks]
-        assert reference == sum(map(len, blocks)) and phrases == cross_parsing.SuffixAutomaton(number).phrases(["abcdefgh".index(w) for w in texts[i].split()])
-    assert any(phrases == 1 for _, _, phrases, *_ in want)
-    assert sorted(map(tuple, cross_parsing.score(docs, docs, shard_chars=50).collect())) == want
-    assert sorted(map(tuple, cross_parsing.score(docs, docs, shard_chars=300, task_chars=500).collect())) == want
+    texts = [lower(t) for _, t, _ in rows]
+    out = []
+    for d, (i, _, _) in enumerate(rows):
+        words, blocks = texts[d], [t for e, t in enumerate(texts) if e != d and rows[e][2]]
+        runs = {tuple(b[j : j + k]) for k in lengths for b in blocks for j in range(len(b) - k + 1)}
+        n = j = 0
+        while j < len(words):
+            step = 1
+            for k in lengths:
+                if j + k > len(words) or tuple(words[j : j + k]) not in runs:
+                    break
+                step = k
+            j, n = j + step, n + 1
+        if len(lengths) > 50:  # every length: the automaton's factoring
+            number = {w: x for x, w in enumerate({w for b in blocks for w in b})}
+            assert n == cross_parsing.SuffixAutomaton([[number[w] for w in b] for b in blocks]).phrases([number.get(w, -(1 << 60)) for w in words])
+        out.append((i, len(words), n, sum(map(len, blocks))))
+    return out
+
+
+@pytest.mark.parametrize("batch", [4 << 20, 200])
+@pytest.mark.parametrize("marked", [True, False])
+def test_cross_parsing(spark, batch, marked):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "b", "C", "é", "d"], k=rng.randint(0, 60))) for _ in range(40)] + [None, "", " \n"]
+    texts += [texts[3], texts[5].upper() + " q q q", "x y z " * 20]
+    rows = [(i, t, i % 3 != 1) for i, t in enumerate(texts)] + [(None, "a b", True), (0, texts[0], None)]
+    docs = table(spark, rows, "doc_id long, text string, good boolean")
+    mark = F.col("good") if marked else None
+    for lengths in ((2, 3, 4, 6, 8, 16), tuple(range(2, 64))) if marked and batch == 200 else ((2, 4, 5),):
+        got = cross_parsing.score(docs, reference=mark, lengths=lengths, batch_bytes=batch).collect()
+        want = _cross_parsed([(i, t, bool(g) or not marked) for i, t, g in rows], lengths)
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_phrases"], r["ref_words"]) for r in got) == sorted((str(i), *x) for i, *x in want)
+        for r in got:
+            assert r["score"] == cross_parsing.relative_entropy(r["n_words"], r["n_phrases"], r["n_own"], r["ref_words"])
+            assert (r["score"] is None) == (not r["n_words"])
+
+
+def test_cross_parsing_without_reference(spark):
+    docs = table(spark, [(1, "a b a b"), (2, None), (3, "a b")], "doc_id long, text string")
+    found = cross_parsing.score(docs, reference=F.lit(False)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_phrases"], r["ref_words"], r["score"]) for r in found) == [(1, 4, 4, 0, None), (2, 0, 0, 0, None), (3, 2, 2, 0, None)]
+    assert cross_parsing.score(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        cross_parsing.score(docs, lengths=(3, 2))
 
 
 # -- 4 --------------------------------------------------------------------------------
@@ -241,13 +240,19 @@ def test_token_counts(spark):
 
 
 def _line_names(line):
-    tokens = ["\0" if any("0" <= c <= "9" for c in w) else w for w in ("".join(c.lower() if "A" <= c <= "Z" else c for c in line)).split()]
+    tokens = ("".join(c.lower() if "A" <= c <= "Z" else c for c in line)).split()
+    free = [any("0" <= c <= "9" for c in w) for w in tokens]
+    if not all(free):
+        tokens = ["\0" if f else w for w, f in zip(tokens, free)]
+    else:
+        free = [False] * len(tokens)
     names = [("all", len(tokens), *tokens)] if tokens else []
-    if len(tokens) >= line_dedup.LONG:
+    if len(tokens) >= line_dedup.FIELDS:
         m = len(tokens) - line_dedup.LEADING
         for q in range(4):
             lo, hi = line_dedup.LEADING + m * q // 4, line_dedup.LEADING + m * (q + 1) // 4
-            names.append((q, len(tokens), *tokens[:lo], None, *tokens[hi:]))
+            if hi > lo and 2 * sum(not f for f in free[:lo] + free[hi:]) >= len(tokens):
+                names.append((q, len(tokens), *tokens[:lo], None, *tokens[hi:]))
     return names
 
 
@@ -255,7 +260,7 @@ def test_line_dedup(spark):
     rng = random.Random(6)
     pool = [" ".join(rng.choices(["Ab", "c", "d7", "é", "x9"], k=rng.choice([0, 1, 2, 5, 18, 30]))) for _ in range(25)]
     base = "one two three " + " ".join(f"w{c}" for c in "abcdefghijklmnop")
-    texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 6))) for _ in range(40)] + [None, "", "\n", "\n\nlone line here\n", base, base.replace("wd", "other"), base.replace("wa", "x").replace("wp", "y"), "z " * 30_000, "id 1 of 2\n", "id 3 of 4"]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 6))) for _ in range(40)] + [None, "", "\n", "\n\nlone line here\n", base, base.replace("wd", "other"), base.replace("wa", "x").replace("wp", "y"), "z " * 30_000, "id 1 of 2\n", "id 3 of 4", "2019", "42", "1 2 3 4 x5 6", "7 8 9 1 y2 3", "Posted by alice in general", "Posted by bob in general", "one 1 2 3 4 5", "one 1 2 x 4 5"]
     docs = table(spark, [*enumerate(texts), (None, base), (44, base)], "doc_id long, text string")
     first, last = {}, {}
     for i, t in enumerate(texts):
@@ -283,7 +288,7 @@ def test_line_dedup(spark):
     kept = line_dedup.drop_recurring(docs)
     assert kept.columns == docs.columns
     assert {40, 41, 42, 43, 44, 46} <= {r["doc_id"] for r in kept.collect()}
-    assert 45 not in {r["doc_id"] for r in kept.collect()}
+    assert {45, 49, 55} & {r["doc_id"] for r in kept.collect()} == set() and {48, 50, 51, 52, 53, 54, 56, 57} <= {r["doc_id"] for r in kept.collect()}
     assert line_dedup.find_recurring(docs.limit(0)).count() == 0
 
 
