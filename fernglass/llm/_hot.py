@@ -23,12 +23,6 @@ def join_by_count(rows: DataFrame, keyed: DataFrame, keys: list[str], count_col:
 BROADCAST_IDS = 2_000_000
 
 
-def only_with(rows: DataFrame, ids: DataFrame, on: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """The rows whose ``on`` is among ``ids`` (one column, unique); ids of a checked number are broadcast."""
-    few = ids.count() <= broadcast_ids
-    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
-
-
 def without(rows: DataFrame, ids: DataFrame, on: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows whose ``on`` isn't among ``ids``; rows with a null one stay."""
     few = ids.count() <= broadcast_ids

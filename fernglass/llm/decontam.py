@@ -14,8 +14,9 @@ any window. The join goes:
    length bounds drop candidates that would leave the document;
 5. the rest are verified over the whole window, word by word.
 
-Benchmark tables beyond ``CHUNK_WORDS`` words are split by item into chunks of that
-size, joined one after the other, so what is broadcast never exceeds the bound. What
+Benchmark tables beyond ``CHUNK_WORDS`` words are spread by hash over chunks of about
+that size, long items in overlapping pieces of an eighth of it, and the chunks are
+joined one after the other; so what is broadcast is bounded whatever the table's size. What
 the chunks find is merged by doc_id and 128 bits of the text's hashes, and given back
 as often as that row occurs.
 
@@ -28,8 +29,9 @@ ignored. An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,54 +40,67 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._hot import without
-from ._store import materialize, small_batches, trimmed
+from ._store import dispose, materialize, small_batches, trimmed
 
 #: Words of benchmark text in one broadcast (about 60 bytes of index each).
 CHUNK_WORDS = 1_000_000
 
 
+def _fold(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of every run of words."""
+    out = length.astype(np.uint64)
+    for k in range(int(length.max(initial=0))):
+        more = length > k
+        out[more] = W.pair_hash(out[more], words[start[more] + k])
+    return out
+
+
 class WindowIndex:
-    """The distinct windows of some items, found by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        texts = pa.array([t for _, t in items], pa.large_string())
-        data, offsets = W.string_buffers(texts)
-        h, row, _, _ = W.split_words(data, offsets, W.ALNUM)
-        bounds = np.searchsorted(row, np.arange(len(items) + 1)).tolist()
-        found: dict[bytes, int] = {}
-        owners: list[set[int]] = []
-        self.names = sorted({name for name, _ in items})
-        place = {name: i for i, name in enumerate(self.names)}
-        for (name, _), lo, hi in zip(items, bounds[:-1], bounds[1:]):
-            k = min(window, hi - lo)
-            for s in range(lo, hi - k + 1) if k else ():
-                w = found.setdefault(h[s : s + k].tobytes(), len(owners))
-                if w == len(owners):
-                    owners.append(set())
-                owners[w].add(place[name])
-        self.window = window
-        self.owners = [sorted(o) for o in owners]
-        self.length = np.array([len(b) // 8 for b in found], np.int64)
-        self.words = np.zeros((len(found), window), np.uint64)
-        for i, b in enumerate(found):
-            self.words[i, : len(b) // 8] = np.frombuffer(b, np.uint64)
-        self.shingles = np.unique(np.concatenate([self._shingles(i) for i in range(len(found))])) if found else np.zeros(0, np.uint64)
-
-    def _shingles(self, i: int) -> np.ndarray:
-        w = self.words[i, : self.length[i]]
-        return W.single_hash(w) if len(w) == 1 else W.pair_hash(w[:-1], w[1:])
+    """The distinct windows of some items, found by their rarest shingle; windows are places in the items' words."""
+
+    def __init__(self, names: list[str], texts: list[str], window: int):
+        data, offsets = W.string_buffers(pa.array(texts, pa.large_string()))
+        self.words, row, _, _ = W.split_words(data, offsets, W.ALNUM)
+        n = np.bincount(row, minlength=len(texts))
+        first = np.cumsum(n) - n
+        length = np.minimum(window, n)
+        many = np.where(length > 0, n - length + 1, 0)
+        item = np.repeat(np.arange(len(texts)), many)
+        start = np.arange(len(item)) - (np.cumsum(many) - many)[item] + first[item]
+        length = length[item]
+        _, one, window_of = np.unique(_fold(self.words, start, length), return_index=True, return_inverse=True)
+        self.window, self.start, self.length = window, start[one], length[one]
+        self.names = sorted(set(names))
+        place = np.searchsorted(np.array(self.names, object), np.array(names, object)) if names else np.zeros(0, np.int64)
+        owner = np.unique(np.stack([window_of, place[item]], axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.owner = owner[:, 1]
+        self.owned = np.searchsorted(owner[:, 0], np.arange(len(one) + 1))
+        self.shingles = np.unique(np.concatenate([W.single_hash(self.words[self.start[self.length == 1]]), *(self._shingle(j)[1] for j in range(window - 1))]))
+
+    def _shingle(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(windows of more than j + 1 words, their shingle at j)."""
+        some = np.flatnonzero(self.length > j + 1)
+        at = self.start[some] + j
+        return some, W.pair_hash(self.words[at], self.words[at + 1])
+
+    def names_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.owned[window] : self.owned[window + 1]]]
 
     def order(self, counts: np.ndarray) -> None:
         """Chooses each window's rarest shingle, by its count in the documents, then by hash."""
-        prefix, offset = np.zeros(len(self.length), np.uint64), np.zeros(len(self.length), np.int64)
-        for i in range(len(prefix)):
-            s = self._shingles(i)
-            n = counts[np.searchsorted(self.shingles, s)]
-            offset[i] = np.lexsort((s, n))[0]
-            prefix[i] = s[offset[i]]
+        rank = np.empty(len(self.shingles), np.int64)
+        rank[np.lexsort((self.shingles, counts))] = np.arange(len(rank))
+        best, offset = np.full(len(self.length), len(rank)), np.zeros(len(self.length), np.int64)
+        prefix = W.single_hash(self.words[self.start]) if len(self.start) else np.zeros(0, np.uint64)
+        for j in range(self.window - 1):
+            some, s = self._shingle(j)
+            r = rank[np.searchsorted(self.shingles, s)]
+            less = r < best[some]
+            some = some[less]
+            best[some], offset[some], prefix[some] = r[less], j, s[less]
         by = np.argsort(prefix, kind="stable")
-        self.token, begin = np.unique(prefix[by], return_index=True)
-        self.begin, self.end = begin, np.append(begin[1:], len(by))
+        self.token, self.begin = np.unique(prefix[by], return_index=True)
+        self.end = np.append(self.begin[1:], len(by))
         self.candidate, self.offset = by, offset[by]
 
 
@@ -145,7 +160,7 @@ def find_windows(ix: WindowIndex, sieve: np.ndarray, h: np.ndarray, row: np.ndar
         for k in range(ix.window):
             longer = ix.length[win] > k
             ok = ~longer
-            ok[longer] = h[start[longer] + k] == ix.words[win[longer], k]
+            ok[longer] = h[start[longer] + k] == ix.words[ix.start[win[longer]] + k]
             win, start = win[ok], start[ok]
         out_w.append(win)
         out_s.append(start)
@@ -174,7 +189,7 @@ def _match(index, spans: bool):
                     inside = np.cumsum(edge[:-1]) > 0
                     hits = np.bincount(row[inside], minlength=rows)
                     for r, w in set(zip(row[start].tolist(), win.tolist())):
-                        got[r] += [ix.names[i] for i in ix.owners[w]]
+                        got[r] += ix.names_of(w)
                     if spans:
                         turn = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
                         for s, e in zip(turn[::2].tolist(), turn[1::2].tolist()):
@@ -193,46 +208,58 @@ def _match(index, spans: bool):
     return trimmed(run)
 
 
-def _item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_words: int) -> list[list[tuple[str, str]]]:
-    """The items, split where their text exceeds the bound of one broadcast."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("i is not null")
-    chunks: list[list[tuple[str, str]]] = [[]]
-    held = 0
-    for r in rows.toLocalIterator():
-        n = len(r["t"]) // 2 + 1
-        if held and held + n > chunk_words:
-            chunks.append([])
-            held = 0
-        chunks[-1].append((r["i"], r["t"]))
-        held += n
-    return chunks
+def _pieces(window: int, words: int):
+    """(item, text, words) of items cut into pieces of so many words that overlap by a window less one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, data, offsets = batch.column(0).to_pylist(), *W.string_buffers(batch.column(1))
+            for i, name in enumerate(names):
+                text = data[offsets[i] : offsets[i + 1]]
+                _, _, start, end = W.split_words(text, np.array([0, len(text)]), W.ALNUM)
+                last = max(1, len(start) - window + 1)
+                at = [(lo, min(len(start), lo + words + window - 1)) for lo in range(0, last, words)] if len(start) else []
+                if at:
+                    yield pa.record_batch([pa.array([name] * len(at)), pa.array([text[start[a] : end[b - 1]].tobytes().decode() for a, b in at]), pa.array([b - a for a, b in at], pa.int64())], names=["i", "t", "n"])
+
+    return trimmed(run)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted item ids as strings) of every document row."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("decontam"), "text").alias("h2"))
-    parts = []
-    chunks = _item_chunks(benchmark, item_col, item_text_col, chunk_words)
-    for chunk in chunks:
-        ix = WindowIndex(chunk, window)
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    cut = materialize(items.mapInArrow(_pieces(window, max(1, chunk_words // 8)), "i string, t string, n long"), "items")
+    chunks = max(1, math.ceil((cut.agg(F.sum("n")).first()[0] or 0) / chunk_words))
+    items = cut.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(chunks)))
+    parts: list[DataFrame] = []
+    for chunk in range(chunks):
+        own = items.where(F.col("chunk") == chunk).select("i", "t").toArrow()  # about chunk_words
+        ix = WindowIndex(own.column(0).to_pylist(), own.column(1).to_pylist(), window)
         counts = np.zeros(len(ix.shingles), np.int64)
         if len(counts):
-            seen = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(ix)), "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            for r in seen.collect():  # at most one row per shingle of the chunk
-                counts[r["shingle"]] = r["n"]
+            asked = spark.sparkContext.broadcast(ix)
+            seen = docs.select("text").mapInArrow(_count(asked), "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()  # at most a row a shingle of the chunk
+            counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
+            asked.destroy()
         ix.order(counts)
-        spans = len(chunks) > 1
+        spans = chunks > 1
         schema = f"doc_id {id_type}, n_words long, n_hit long, items array<string>" + ", spans array<struct<start: long, end: long>>, h1 long, h2 long" * spans
-        parts.append((hashed if spans else docs).mapInArrow(_match(spark.sparkContext.broadcast(ix), spans), schema))
+        shared = spark.sparkContext.broadcast(ix)
+        found = (hashed if spans else docs).mapInArrow(_match(shared, spans), schema)
+        if spans:
+            found = materialize(found.withColumn("once", F.lit(int(chunk == 0))), "spans")
+            shared.destroy()
+        parts.append(found)
+    dispose(cut)
     if len(parts) == 1:
         return parts[0]
     # several chunks: a row's spans from all of them, merged on its side; equal rows are merged once and counted by the first chunk
-    numbered = [p.withColumn("once", F.lit(int(i == 0))) for i, p in enumerate(parts)]
-    every = materialize(_all(numbered), "spans")
+    every = reduce(DataFrame.unionByName, parts)
     merged = every.groupBy("doc_id", "h1", "h2").agg(
         F.max("n_words").alias("n_words"),
         F.sum("once").alias("rows"),
@@ -246,13 +273,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.unionByName(again).drop("rows")
 
 
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def is_contaminated(share: int = 20):
     """Whether at least one in ``share`` of a document's words is hit."""
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
