@@ -4,7 +4,7 @@ import base64
 import hashlib
 import random
 import time
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from fernglass.llm import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, token_count, url_filter, warc
 from fernglass.llm.queries import tokenizer_file
 
+from plain import components, contamination_of, language_model, language_of, line_dedup_of
+
 CLASH = "text string, score double, n string, row int, key long, h1 string, family int, __key int"
 
 
@@ -23,20 +25,6 @@ def table(spark, rows, schema):
     return spark.createDataFrame([(*r, *([None] * len(extra))) for r in rows], schema + ", " + ", ".join(extra)).coalesce(2)
 
 
-def components(nodes, edges):
-    of = {n: n for n in nodes}
-
-    def find(x):
-        while of[x] != x:
-            x = of[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        of[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
 # -- 1 --------------------------------------------------------------------------------
 
 
@@ -239,49 +227,14 @@ def test_token_counts(spark):
 # -- 5 --------------------------------------------------------------------------------
 
 
-def _line_names(line):
-    tokens = ("".join(c.lower() if "A" <= c <= "Z" else c for c in line)).split()
-    free = [any("0" <= c <= "9" for c in w) for w in tokens]
-    if not all(free):
-        tokens = ["\0" if f else w for w, f in zip(tokens, free)]
-    else:
-        free = [False] * len(tokens)
-    names = [("all", len(tokens), *tokens)] if tokens else []
-    if len(tokens) >= line_dedup.FIELDS:
-        m = len(tokens) - line_dedup.LEADING
-        for q in range(4):
-            lo, hi = line_dedup.LEADING + m * q // 4, line_dedup.LEADING + m * (q + 1) // 4
-            if hi > lo and 2 * sum(not f for f in free[:lo] + free[hi:]) >= len(tokens):
-                names.append((q, len(tokens), *tokens[:lo], None, *tokens[hi:]))
-    return names
-
-
 def test_line_dedup(spark):
     rng = random.Random(6)
     pool = [" ".join(rng.choices(["Ab", "c", "d7", "é", "x9"], k=rng.choice([0, 1, 2, 5, 18, 30]))) for _ in range(25)]
     base = "one two three " + " ".join(f"w{c}" for c in "abcdefghijklmnop")
     texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 6))) for _ in range(40)] + [None, "", "\n", "\n\nlone line here\n", base, base.replace("wd", "other"), base.replace("wa", "x").replace("wp", "y"), "z " * 30_000, "id 1 of 2\n", "id 3 of 4", "2019", "42", "1 2 3 4 x5 6", "7 8 9 1 y2 3", "Posted by alice in general", "Posted by bob in general", "one 1 2 3 4 5", "one 1 2 x 4 5"]
     docs = table(spark, [*enumerate(texts), (None, base), (44, base)], "doc_id long, text string")
-    first, last = {}, {}
-    for i, t in enumerate(texts):
-        for line in (t or "").split("\n"):
-            for k in _line_names(line):
-                first[k], last[k] = min(i, first.get(k, i)), max(i, last.get(k, i))
-    want = []
-    for i, t in [*enumerate(texts), (None, base), (44, base)]:
-        lines = t.split("\n") if t else []
-        if lines and t.endswith("\n"):
-            lines.pop()
-        keys = [[k for k in _line_names(x) if i is not None and first[k] != last[k]] for x in lines]
-        gone = [any(first[k] != i for k in ks) for ks in keys]
-        text = t
-        if any(gone):
-            parts = [x + "\n" for x in lines]
-            if not t.endswith("\n"):
-                parts[-1] = parts[-1][:-1]
-            text = "".join(x for x, g in zip(parts, gone) if not g)
-            text = text[:-1] if gone[-1] and text.endswith("\n") else text
-        want.append(str((i, text, len(lines), sum(map(bool, keys)), sum(gone))))
+    rows = [*enumerate(texts), (None, base), (44, base)]
+    want = [str((i, *x)) for (i, _), x in zip(rows, line_dedup_of(rows))]
     for size in (1 << 20, 0):
         got = [str(tuple(r)) for r in line_dedup.find_recurring(docs, broadcast_templates=size).collect()]
         assert sorted(got) == sorted(want)
@@ -406,24 +359,7 @@ def test_contamination(spark, chunk):
             w[5:5] = (items[rng.randrange(12)][1] or "").split()
         docs.append((i, ("_" if i % 5 == 0 else " ").join(w).upper() if i % 7 == 0 else ". ".join(w)))
     docs += [(100, None), (101, ""), (102, "!!"), (103, "zz YY"), (None, "zz yy"), (0, docs[0][1])]
-    import re
-
-    split = lambda t: re.findall("[^\x00-/:-`{-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    windows = defaultdict(set)
-    for name, t in items:
-        w = split(t)
-        k = min(13, len(w))
-        for j in range(len(w) - k + 1 if k and name is not None else 0):
-            windows[tuple(w[j : j + k])].add(name)
-    want = []
-    for i, t in docs:
-        w, hit, found = split(t), set(), set()
-        for win, names in windows.items():
-            for j in range(len(w) - len(win) + 1):
-                if tuple(w[j : j + len(win)]) == win:
-                    hit |= set(range(j, j + len(win)))
-                    found |= names
-        want.append(str((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))))
+    want = [str((i, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n)) for (i, _), (n, hit, found) in zip(docs, contamination_of([t for _, t in docs], items))]
     frame, bench = table(spark, docs, "doc_id long, text string"), table(spark, items, "item_id string, text string")
     got = decontam.digest(decontam.contamination(frame, bench, chunk_words=chunk))
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
@@ -466,44 +402,6 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and {100, 101, 102}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() >= 82
 
 
-def _plain_language_model(rows, words, grams, max_n=5):
-    """{language: [{gram: log frequency} for words and n = 1, 2, ...]} of (text, lang) rows, with each table's floor."""
-    found = {}
-    for lang in sorted({g for t, g in rows if g is not None and t is not None}):
-        tables = [Counter() for _ in range(max_n + 1)]
-        for text, g in rows:
-            for w in language_id.words_of(text or "") if g == lang else ():
-                tables[0][w] += 1
-                for n in range(1, max_n + 1):
-                    tables[n].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
-        found[lang] = tables
-    size = {0: max(1, words // len(found))} | {n: max(1, grams // len(found)) for n in range(1, max_n + 1)}
-    floor = [min(-np.log(t[n].total()) - 2 for t in found.values() if t[n]) for n in range(max_n + 1)]
-    kept = {g: [{w: np.log(c / t.total()) for w, c in sorted(t.items(), key=lambda x: (-x[1], x[0]))[: size[n]] if c > 1} for n, t in enumerate(tables)] for g, tables in found.items()}
-    return kept, floor
-
-
-def _plain_language(model, floor, text):
-    langs = list(model)
-
-    def likelihood(w):
-        if any(w in model[g][0] for g in langs):
-            return [model[g][0].get(w, floor[0]) for g in langs]
-        for n in range(5, 0, -1):
-            grams = [x for i in range(len(w) + 3 - n) if (x := f" {w} "[i : i + n]) and any(x in model[g][n] for g in langs)]
-            if grams:
-                return [sum(model[g][n].get(x, floor[n]) for x in grams) / len(grams) for g in langs]
-        return [0.0] * len(langs)
-
-    found = [likelihood(w) for w in language_id.words_of(text or "")]
-    if not found or not any(map(str.isalpha, text)):
-        return "und", 0.0
-    total = [sum(x[k] for x in found) for k in range(len(langs))]
-    best = total.index(max(total))
-    shares = [np.exp(x[best]) / sum(np.exp(y) for y in x) for x in found]
-    return langs[best], sum(shares) / len(shares)
-
-
 @pytest.mark.parametrize(("words", "grams"), [(200_000, 100_000), (30, 60)])
 def test_language_id_brute_force(spark, words, grams, monkeypatch):
     rng = random.Random(11)
@@ -515,8 +413,8 @@ def test_language_id_brute_force(spark, words, grams, monkeypatch):
     import zlib
 
     known = [(t, g) for i, t, g in rows if i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
-    model, floor = _plain_language_model(known, words, grams)
-    want = sorted(((i, *_plain_language(model, floor, t)) for i, t, _ in rows), key=str)
+    model, floor = language_model(known, words, grams)
+    want = sorted(((i, *language_of(model, floor, t)) for i, t, _ in rows), key=str)
     fitted = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), words=words, grams=grams)
     for size in (1 << 18, 50):
         monkeypatch.setattr(language_id, "CHUNK_CHARS", size)
