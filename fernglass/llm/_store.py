@@ -107,6 +107,10 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return wrapped
 
 
+#: A size that Catalyst gives where it knows none.
+UNKNOWN_BYTES = 1 << 55
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

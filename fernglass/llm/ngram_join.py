@@ -48,15 +48,13 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._hot import join_by_count, without
-from ._store import dispose, materialize, shuffle_partitions, size_in_bytes, small_batches, trimmed
+from ._store import UNKNOWN_BYTES, dispose, materialize, shuffle_partitions, size_in_bytes, small_batches, trimmed
 from .components import connected_components, star_forest
 
 #: N-grams of one batch of documents (8 bytes each, in a worker's memory).
 BATCH_SHINGLES = 1_000_000
 #: Bytes of text per hash range.
 RANGE_BYTES = 16 << 20
-#: A size that Catalyst gives where it knows none; such documents are written to know theirs.
-UNKNOWN_BYTES = 1 << 55
 #: N-grams of one cell of a family (8 bytes each); two cells meet in a task.
 CELL_SHINGLES = 1_000_000
 #: Ids that a broadcast may hold (8 bytes each, and what goes with them); beyond, the join shuffles.
@@ -611,7 +609,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("threshold is a percentage from 1 to 100")
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if size_in_bytes(docs) > UNKNOWN_BYTES:
+    if size_in_bytes(docs) > UNKNOWN_BYTES:  # written, to know their size
         docs = materialize(docs, "documents")
     n_ranges = max(shuffle_partitions(docs.sparkSession), size_in_bytes(docs) // RANGE_BYTES)
     sizes = materialize(_shared_counts(docs, n, threshold, n_ranges), "sizes")

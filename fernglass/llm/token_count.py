@@ -10,7 +10,8 @@ Texts become arrays of code-point classes, from which pre-tokens are cut and has
 frequent pre-token to its number of ids, broadcast; its size is bounded by
 ``TABLE_TOKENS``. Tier two is each worker's bounded cache; what it misses, the library
 encodes, each distinct pre-token of a batch once. The table is counted over a bounded
-sample of ``SAMPLE_TEXTS`` texts; it alters speed alone, never a count.
+sample of ``SAMPLE_TEXTS`` texts, drawn from all of them; it alters speed alone, never a
+count.
 
 Strings of special tokens in a text count one each, as the library has it, and the
 parts between them stand alone. Code points whose normal form needs more than lower
@@ -34,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import small_batches, trimmed
+from ._store import UNKNOWN_BYTES, size_in_bytes, small_batches, trimmed
 from ._unicode import APOSTROPHE, NUMBER, OTHER, SPACE, WHITE, class_table
 
 #: Frequent pre-tokens of the broadcast table (9 bytes a slot, at most half of them filled).
 TABLE_TOKENS = 1 << 16
-#: Texts, of at most SAMPLE_CHARS each, over which frequent pre-tokens are counted.
+#: Texts, of at most SAMPLE_CHARS each, over which frequent pre-tokens are counted, and bytes of the rows from which they are taken, in expectation.
 SAMPLE_TEXTS = 1000
+SAMPLE_BYTES = 4 << 20
 SAMPLE_CHARS = 1 << 16
 #: Pre-tokens that a worker's cache may hold.
 CACHE_TOKENS = 500_000
@@ -236,7 +238,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").take(sample_texts)
+    size = size_in_bytes(rows)
+    drawn = rows.sample(min(1.0, SAMPLE_BYTES / max(1, size)), seed=4) if size < UNKNOWN_BYTES else rows
+    sample = drawn.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").orderBy(F.xxhash64("text")).limit(sample_texts).collect()
     table = rows.sparkSession.sparkContext.broadcast(frequent_lengths([r[0] for r in sample], path, table_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
