@@ -126,3 +126,25 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_TOKENS5 = r"regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_LO5, _HI5 = "(2 + (len(w) - 2) * q // 4)", "(2 + (len(w) - 2) * (q + 1) // 4)"
+
+ORACLE_SQL["op5_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS pieces FROM documents),
+l AS (SELECT r, doc_id, unnest(pieces) AS line, unnest(range(1, len(pieces) + 1)) AS k FROM d WHERE text <> ''),
+t AS (SELECT r, doc_id, k, w, list_transform(w, lambda x: regexp_matches(x, '[0-9]')) AS digits FROM (SELECT r, doc_id, k, {_TOKENS5} AS w FROM l) WHERE len(w) > 0),
+f AS (SELECT r, doc_id, k, w, CASE WHEN list_bool_and(digits) THEN list_transform(w, lambda x: false) ELSE digits END AS free FROM t),
+g AS (SELECT r, doc_id, k, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN free[i] THEN '0' ELSE w[i] END) AS w, free FROM f),
+p AS (SELECT r, doc_id, k, 'all ' || array_to_string(w, ' ') AS name FROM g
+  UNION ALL SELECT r, doc_id, k, q || ' ' || len(w) || ' ' || array_to_string(w[:{_LO5}], ' ') || '  ' || array_to_string(w[{_HI5} + 1:], ' ')
+  FROM g, (SELECT unnest(range(0, 4)) AS q) WHERE len(w) >= 5 AND {_HI5} > {_LO5}
+    AND 2 * (len(list_filter(free[:{_LO5}], lambda x: NOT x)) + len(list_filter(free[{_HI5} + 1:], lambda x: NOT x))) >= len(w)),
+n AS (SELECT name, min(doc_id) AS least FROM p WHERE doc_id IS NOT NULL GROUP BY name HAVING min(doc_id) <> max(doc_id)),
+j AS (SELECT r, k, bool_or(n.least IS NOT NULL) AS recurs, bool_or(coalesce(n.least <> doc_id, false)) AS goes FROM p LEFT JOIN n USING (name) WHERE doc_id IS NOT NULL GROUP BY r, k),
+a AS (SELECT l.r, count(*) AS n_lines, count(*) FILTER (WHERE recurs) AS n_recurring, count(*) FILTER (WHERE goes) AS n_dropped, coalesce(bool_or(goes) FILTER (WHERE k = len(pieces)), false) AS ending,
+    coalesce(string_agg(line || CASE WHEN k < len(pieces) OR ends_with(text, chr(10)) THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (WHERE NOT coalesce(goes, false)), '') AS kept
+  FROM l JOIN d USING (r) LEFT JOIN j USING (r, k) GROUP BY l.r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_recurring, 0) AS n_recurring, coalesce(n_dropped, 0) AS n_dropped,
+  sha256(CASE WHEN coalesce(n_dropped, 0) = 0 THEN coalesce(text, '') WHEN ending AND ends_with(kept, chr(10)) THEN left(kept, length(kept) - 1) ELSE kept END) AS text_sha256
+FROM d LEFT JOIN a USING (r)"""

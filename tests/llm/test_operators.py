@@ -2,15 +2,17 @@
 
 import base64
 import hashlib
+import os
 import random
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fernglass.llm import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, token_count, url_filter, warc
+from fernglass.llm import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, queries, token_count, url_filter, warc
 from fernglass.llm.queries import tokenizer_file
 
 from plain import components, contamination_of, language_model, language_of, line_dedup_of
@@ -188,8 +190,9 @@ def test_cross_parsing(spark, batch, marked):
     rows = [(i, t, i % 3 != 1) for i, t in enumerate(texts)] + [(None, "a b", True), (0, texts[0], None)]
     docs = table(spark, rows, "doc_id long, text string, good boolean")
     mark = F.col("good") if marked else None
-    for lengths in ((2, 3, 4, 6, 8, 16), tuple(range(2, 64))) if marked and batch == 200 else ((2, 4, 5),):
-        got = cross_parsing.score(docs, reference=mark, lengths=lengths, batch_bytes=batch).collect()
+    for rounds in (((2,), (3, 4), (6, 8, 16)), tuple(tuple(range(k, k + 20)) for k in (2, 22, 42))) if marked and batch == 200 else (((2,), (4, 5)), cross_parsing.ROUNDS):
+        lengths = [k for r in rounds for k in r]
+        got = cross_parsing.score(docs, reference=mark, rounds=rounds, batch_bytes=batch).collect()
         want = _cross_parsed([(i, t, bool(g) or not marked) for i, t, g in rows], lengths)
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_phrases"], r["ref_words"]) for r in got) == sorted((str(i), *x) for i, *x in want)
         for r in got:
@@ -203,7 +206,7 @@ def test_cross_parsing_without_reference(spark):
     assert sorted((r["doc_id"], r["n_words"], r["n_phrases"], r["ref_words"], r["score"]) for r in found) == [(1, 4, 4, 0, None), (2, 0, 0, 0, None), (3, 2, 2, 0, None)]
     assert cross_parsing.score(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        cross_parsing.score(docs, lengths=(3, 2))
+        cross_parsing.score(docs, rounds=((3,), (2,)))
 
 
 # -- 4 --------------------------------------------------------------------------------
@@ -454,3 +457,20 @@ def test_byte_bpe(spark):
     assert made["offsets"] == np.concatenate([[0], np.cumsum([len(library.decode_single_token_bytes(i)) for i in made["ids"]])])[:-1].tolist()
     assert bpe.decode(bpe.encode(docs, path), path).where("doc_id = 0").first()["decoded"] == texts[0].encode()
     assert bpe.digest(docs.limit(0), path).count() == 0
+
+
+# -- queries --------------------------------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(str(tuple(r)) for r in df.select(columns).collect())
+    assert got == sorted(str(r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
