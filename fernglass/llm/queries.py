@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, token_count, url_filter, warc
 
@@ -62,7 +63,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,3 +149,32 @@ a AS (SELECT l.r, count(*) AS n_lines, count(*) FILTER (WHERE recurs) AS n_recur
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_recurring, 0) AS n_recurring, coalesce(n_dropped, 0) AS n_dropped,
   sha256(CASE WHEN coalesce(n_dropped, 0) = 0 THEN coalesce(text, '') WHEN ending AND ends_with(kept, chr(10)) THEN left(kept, length(kept) - 1) ELSE kept END) AS text_sha256
 FROM d LEFT JOIN a USING (r)"""
+
+# the fit takes all rows that aren't held out, as the query does while no language has more of them than SAMPLE_DOCS
+ORACLE_SQL["op9_language_id"] = r"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, text, lang, coalesce(xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 4 = 2, false) AS held_out FROM documents),
+o AS (SELECT r, x AS word, count(*) AS c FROM (SELECT r, unnest(flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+'), lambda x: list_transform(range(0, length(x), 64), lambda i: substr(x, i + 1, 64))))) AS x FROM h) GROUP BY r, x),
+k AS (SELECT lang, word, sum(c) AS c FROM o JOIN h USING (r) WHERE NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL GROUP BY lang, word),
+langs AS (SELECT lang, count(*) OVER () AS many FROM (SELECT DISTINCT lang FROM h WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL)),
+z AS (SELECT unnest(range(1, 6)) AS n),
+g AS (SELECT lang, 0 AS n, word AS gram, c FROM k
+  UNION ALL SELECT lang, n, gram, sum(c) FROM (SELECT lang, n, unnest(list_transform(range(1, length(word) + 4 - n), lambda i: substr(' ' || word || ' ', i, n))) AS gram, c FROM k, z) GROUP BY lang, n, gram),
+totals AS (SELECT lang, n, sum(c) AS total FROM g GROUP BY lang, n),
+low AS (SELECT n, min(-ln(total)) - 2.0 AS low FROM totals GROUP BY n),
+m AS (SELECT lang, n, gram, ln(c / total) AS s FROM (SELECT *, row_number() OVER (PARTITION BY lang, n ORDER BY c DESC, gram) AS place FROM g WHERE c >= 2) JOIN totals USING (lang, n) JOIN langs USING (lang)
+  WHERE place <= CASE WHEN n = 0 THEN 200000 // many ELSE 100000 // many END),
+any_ AS (SELECT DISTINCT n, gram FROM m),
+v AS (SELECT DISTINCT word FROM o),
+own AS (SELECT word, 0 AS n, word AS gram FROM v JOIN any_ ON any_.n = 0 AND any_.gram = word),
+parts AS (SELECT word, p.n, p.gram FROM (SELECT word, n, unnest(list_transform(range(1, length(word) + 4 - n), lambda i: substr(' ' || word || ' ', i, n))) AS gram FROM (SELECT word FROM v ANTI JOIN own USING (word)), z) AS p JOIN any_ USING (n, gram)),
+best AS (SELECT word, n, gram FROM own UNION ALL SELECT word, n, gram FROM parts JOIN (SELECT word, max(n) AS n FROM parts GROUP BY word) USING (word, n)),
+s AS (SELECT v.word, langs.lang, coalesce(avg(coalesce(m.s, low.low)) FILTER (WHERE best.n IS NOT NULL), 0) AS s
+  FROM v CROSS JOIN langs LEFT JOIN best USING (word) LEFT JOIN low ON low.n = best.n LEFT JOIN m ON m.lang = langs.lang AND m.n = best.n AND m.gram = best.gram GROUP BY v.word, langs.lang),
+e AS (SELECT word, lang, s, exp(s - max(s) OVER (PARTITION BY word)) AS e FROM s),
+w AS (SELECT word, lang, s, e / sum(e) OVER (PARTITION BY word) AS share FROM e),
+d AS (SELECT r, lang, sum(c * s) AS total, sum(c * share) / sum(c) AS share FROM o JOIN w USING (word) GROUP BY r, lang),
+a AS (SELECT r, lang, share FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY round(total, 9) DESC, lang) AS place FROM d) WHERE place = 1)
+SELECT doc_id, held_out, CASE WHEN regexp_matches(text, '\p{L}') THEN coalesce(a.lang, 'und') ELSE 'und' END AS lang_pred,
+  CASE WHEN regexp_matches(text, '\p{L}') THEN coalesce(round(share, 6), 0) ELSE 0 END AS score
+FROM h LEFT JOIN a USING (r)"""
