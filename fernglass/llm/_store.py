@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ._words import forget_long
+
 _KEY = "spark.checkpoint.dir"
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
@@ -98,6 +100,7 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
+            forget_long()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -30,6 +30,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget_long() -> None:
+    """Lets go of tables that a long text needed."""
+    if len(_powers["up"]) > CHUNK_BYTES + 1:
+        _powers["up"] = _powers["down"] = np.ones(1, np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     h = h ^ (h >> np.uint64(30))

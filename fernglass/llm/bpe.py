@@ -33,7 +33,7 @@ ROW = 64
 #: Characters of text handled at once.
 CHUNK_CHARS = 1 << 19
 #: Pieces that a worker's cache may hold.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Bytes of a piece from which merging goes through a heap.
 LONG_PIECE = 256
 

@@ -581,11 +581,13 @@ def _tile_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["tile", "side", "rep", "mult", "grams"])
 
 
-def _placed(meta: DataFrame, threshold: int, cell_shingles: int) -> DataFrame:
+def _placed(meta: DataFrame, threshold: int, cell_shingles: int, broadcast_ids: int) -> DataFrame:
     """meta (rep, family, n, ...) with ``where``: the tiles, with sides, to which a set goes."""
-    volume = meta.groupBy("family").agg(F.sum("n").alias("volume"))
+    many = meta.groupBy("family").agg(F.sum("n").alias("volume")).where(F.col("volume") > cell_shingles).select("family")
+    many = materialize(many, "many")  # a family of several cells has more than cell_shingles n-grams
+    many = F.broadcast(many) if many.count() <= broadcast_ids else many
     ratio = F.log(F.col("n")) / math.log(100.0 / threshold + 1e-9) if threshold < 100 else F.col("n")
-    large = meta.join(volume.where(F.col("volume") > cell_shingles), "family").withColumn("band", F.floor(ratio).cast("int"))
+    large = meta.join(many, "family").withColumn("band", F.floor(ratio).cast("int"))
     large = materialize(large, "large")
     loads = large.groupBy("family", "band").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("parts"))
     cells = loads.select("family", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -598,7 +600,7 @@ def _placed(meta: DataFrame, threshold: int, cell_shingles: int) -> DataFrame:
     spread = first.unionByName(second).groupBy("family", "band", "part").agg(F.collect_list("w").alias("where"))  # the cells of the next bands
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")
     cut = large.join(loads, ["family", "band"]).select(*meta.columns, "band", part).join(spread, ["family", "band", "part"]).select(*meta.columns, "where")
-    small = meta.join(volume.where(F.col("volume") <= cell_shingles), "family")
+    small = meta.join(many, "family", "left_anti")
     whole = F.array(F.struct(F.xxhash64("family").alias("tile"), F.lit(SELF).alias("side")))
     return small.select(*meta.columns, whole.alias("where")).unionByName(cut)
 
@@ -627,7 +629,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dispose(prefix, some)
 
     meta = materialize(families.join(classes, "rep").select("rep", "family", "n", "h1", "h2", "mult"), "families")
-    placed = materialize(_placed(meta, threshold, cell_shingles).select(F.col("rep").alias("doc_id"), "mult", "h1", "h2", "where"), "placed")
+    placed = materialize(_placed(meta, threshold, cell_shingles, broadcast_ids).select(F.col("rep").alias("doc_id"), "mult", "h1", "h2", "where"), "placed")
     placed_few = F.broadcast(placed) if placed.count() <= broadcast_ids // 8 else placed
     tiles = docs.join(placed_few, "doc_id").select("doc_id", "text", "mult", "h1", "h2", "where").mapInArrow(_to_tiles(n), "tile long, side int, rep long, mult long, grams binary")
     linked = materialize(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "rep long, links long, root long"), "linked")

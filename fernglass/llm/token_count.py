@@ -101,7 +101,7 @@ class TokenCounter:
         self.library.no_padding()
         specials = [t["content"] for t in config["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.hint = min((s[:2] for s in specials), default="")
+        self.hints = sorted({s[:2] for s in specials})
         classes = class_table()
         classes[classes == APOSTROPHE] = OTHER
         classes[classes == SPACE] = WHITE
@@ -117,7 +117,7 @@ class TokenCounter:
 
     def parts(self, text: str) -> tuple[list[str], int]:
         """(texts between special strings, number of special strings)."""
-        if self.special is None or self.hint not in text:
+        if self.special is None or not any(h in text for h in self.hints):
             return [text], 0
         found = self.special.split(text)
         return found, len(found) - 1
