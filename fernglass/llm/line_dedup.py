@@ -17,10 +17,9 @@ A template recurs if documents with different ids have it. All its lines go, but
 those of the document with the smallest id, where the text stays once. Decisions per
 line don't depend on the order or partitioning of rows.
 
-Recurring templates are few beside all lines; up to ``BROADCAST_TEMPLATES`` they are
-broadcast and lines are judged where they are read. Beyond, lines and templates are
-joined by a shuffle (a template with a thousandth of all lines is broadcast), and what
-is found goes back to its rows by doc_id and 128 bits of the text's hashes.
+Lines and recurring templates are joined by a shuffle (a template with a thousandth of
+all lines is broadcast), and what is found goes back to its rows by doc_id and 128 bits
+of the text's hashes; this is the one plan for every size.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased. Lines end with a
 line feed; lines without tokens are kept, and belong to no template.
@@ -42,14 +41,12 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._hot import join_by_count
-from ._store import materialize, small_batches, trimmed
+from ._store import dispose, materialize, small_batches, trimmed
 
 #: Leading tokens on the path to a leaf.
 LEADING = 2
 #: Tokens from which a line has templates with a generalised part; of fewer, one is more than a fifth of the line.
 FIELDS = 5
-#: Recurring templates that are broadcast (16 bytes each).
-BROADCAST_TEMPLATES = 2_000_000
 
 _WILD = np.uint64(0x6A09E667F3BCC909)
 _DIGIT = np.zeros(256, bool)
@@ -146,28 +143,6 @@ def recurring_templates(docs: DataFrame) -> DataFrame:
     return every.where("first <> last").select("template", "first", "lines")
 
 
-class _Known:
-    """Recurring templates, sorted, with their first documents."""
-
-    def __init__(self, template: np.ndarray, first: np.ndarray):
-        order = np.argsort(template.view(np.uint64))
-        self.template, self.first = template.view(np.uint64)[order], first[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.template >> np.uint64(44)).astype(np.int64)] = True
-
-    def judge(self, line: np.ndarray, key: np.ndarray, doc: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-        """(does a line's template recur, does the line go) of every line."""
-        recurs, goes = np.zeros(lines, bool), np.zeros(lines, bool)
-        at = np.flatnonzero(self.sieve[(key >> np.uint64(44)).astype(np.int64)])
-        if len(at) and len(self.template):
-            to = np.minimum(np.searchsorted(self.template, key[at]), len(self.template) - 1)
-            hit = self.template[to] == key[at]
-            at, to = at[hit], to[hit]
-            recurs[line[at]] = True
-            goes[line[at[self.first[to] != doc[at]]]] = True
-        return recurs, goes
-
-
 def _without(text: bytes, lines: np.ndarray, gone: np.ndarray) -> bytes:
     """A text without some of its lines; lines are its offsets."""
     at = lines.tolist()
@@ -202,15 +177,6 @@ def _edit(ids: np.ndarray, null: np.ndarray, batch: pa.RecordBatch, column: int,
     return texts, n_lines, n_rec, n_gone
 
 
-def _judge_broadcast(known, columns: int, column: int, counts: tuple[str, str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k: _Known = known.value
-        for batch in batches:
-            yield _rewritten(batch, columns, column, counts, lambda lo, row, line, key, doc: k.judge(line, key, doc, len(row)))
-
-    return trimmed(run)
-
-
 def _rewritten(batch: pa.RecordBatch, columns: int, column: int, counts: tuple[str, str, str], goes_of) -> pa.RecordBatch:
     key = batch.column(columns)
     null = key.is_null().to_numpy(zero_copy_only=False)
@@ -222,7 +188,7 @@ def _rewritten(batch: pa.RecordBatch, columns: int, column: int, counts: tuple[s
     return pa.RecordBatch.from_arrays(cols, names=[*names, *counts])
 
 
-def _judge_joined(columns: int, column: int, counts: tuple[str, str, str]):
+def _judge(columns: int, column: int, counts: tuple[str, str, str]):
     """The last columns are the row's key and what a shuffle found of its lines: (line * 2 + does it go)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +232,7 @@ def _fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str, str], broadcast_templates: int) -> DataFrame:
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str, str]) -> DataFrame:
     """``docs`` with new texts, and columns named by ``counts``: lines, recurring and dropped ones."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -276,10 +242,6 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str
     schema = ", ".join([*fields, *(f"`{c}` long" for c in counts)])
     key, ident, marks_col = (_fresh(c, docs.columns) for c in ("__key", "__id", "__marks"))
     keyed = docs.withColumn(key, F.col(id_col).cast("long"))
-    if known.count() <= broadcast_templates:
-        t = known.select("template", "first").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(_Known(t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(np.int64)))
-        return keyed.mapInArrow(_judge_broadcast(shared, width, column, counts), schema)
     h1, h2 = _text_hashes("text")
     hashed = rows.where("doc_id is not null").select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
     lines = materialize(hashed.mapInArrow(trimmed(_lines), "doc_id long, h1 long, h2 long, line long, template long"), "lines")
@@ -288,23 +250,24 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, counts: tuple[str, str
     m1, m2 = (_fresh(c, docs.columns) for c in ("__h1", "__h2"))
     found = marks.groupBy("doc_id", "h1", "h2").agg(F.collect_set("mark").alias(marks_col))  # at most two a line of a text
     marks = materialize(found.select(F.col("doc_id").alias(ident), F.col("h1").alias(m1), F.col("h2").alias(m2), marks_col), "marks")
+    dispose(lines, known)
     h1, h2 = _text_hashes(text_col)
     joined = keyed.join(marks, (F.col(key) == F.col(ident)) & (h1 == F.col(m1)) & (h2 == F.col(m2)), "left").drop(ident, m1, m2)
-    return joined.mapInArrow(_judge_joined(width, column, counts), schema)
+    return joined.mapInArrow(_judge(width, column, counts), schema)
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines taken from the texts; a row that had text and has none left goes."""
     counts = tuple(_fresh(c, docs.columns) for c in ("n_lines", "n_recurring", "n_dropped"))
-    clean = _cleaned(docs, id_col, text_col, counts, broadcast_templates)
+    clean = _cleaned(docs, id_col, text_col, counts)
     left = F.coalesce(F.length(F.regexp_replace(F.col(text_col), r"[ \t\n\r\x0b\f]", "")) > 0, F.lit(False))
     return clean.where(left | (F.col(counts[2]) == 0)).select(*docs.columns)
 
 
-def find_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
+def find_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (without recurring lines), n_lines, n_recurring, n_dropped of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _cleaned(rows, "doc_id", "text", ("n_lines", "n_recurring", "n_dropped"), broadcast_templates)
+    return _cleaned(rows, "doc_id", "text", ("n_lines", "n_recurring", "n_dropped"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -238,9 +238,8 @@ def test_line_dedup(spark):
     docs = table(spark, [*enumerate(texts), (None, base), (44, base)], "doc_id long, text string")
     rows = [*enumerate(texts), (None, base), (44, base)]
     want = [str((i, *x)) for (i, _), x in zip(rows, line_dedup_of(rows))]
-    for size in (1 << 20, 0):
-        got = [str(tuple(r)) for r in line_dedup.find_recurring(docs, broadcast_templates=size).collect()]
-        assert sorted(got) == sorted(want)
+    got = [str(tuple(r)) for r in line_dedup.find_recurring(docs).collect()]
+    assert sorted(got) == sorted(want)
     kept = line_dedup.drop_recurring(docs)
     assert kept.columns == docs.columns
     assert {40, 41, 42, 43, 44, 46} <= {r["doc_id"] for r in kept.collect()}
@@ -248,12 +247,11 @@ def test_line_dedup(spark):
     assert line_dedup.find_recurring(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", [1 << 20, 0])
-def test_line_dedup_of_an_id_with_two_texts(spark, size):
+def test_line_dedup_of_an_id_with_two_texts(spark):
     rows = [(1, "same line\nonly one"), (2, "aa\nbb\ncc\ndd\nsame line"), (2, "x y"), (2, "same line\nq r"), (2, "x y"), (3, "clean text\nof three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     want = [(1, rows[0][1], 2, 1, 0), (2, "aa\nbb\ncc\ndd", 5, 1, 1), (2, "x y", 1, 0, 0), (2, "q r", 2, 1, 1), (2, "x y", 1, 0, 0), (3, rows[5][1], 2, 0, 0)]
-    assert sorted(tuple(r) for r in line_dedup.find_recurring(docs, broadcast_templates=size).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in line_dedup.find_recurring(docs).collect()) == sorted(want)
 
 
 # -- 6 --------------------------------------------------------------------------------
