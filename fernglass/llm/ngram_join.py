@@ -11,12 +11,14 @@ documents link when ``100 * |A & B| >= threshold * |A | B|``. The join is exact:
 2. *Classes.* Equal sets become one class with a count of members; of the sets that
    pass, one a class goes on.
 3. *Prefixes.* A second exchange of that kind tells each set's n-grams that still have
-   partners and how frequent they are. Ordered by frequency class and hash, the first
-   so many that any partner must share one are the set's prefix. A first common n-gram
-   at a place of the order bounds the overlap by what follows it, hence the sizes of
-   partners (positional filter).
-4. *Families.* Along each prefix n-gram's size-ordered list, sets whose bounds admit
-   each other are connected; sets of different families can't link.
+   partners, how frequent they are, and, of those in few batches, in which of ``GROUPS``
+   groups of batches. A set can link into those groups alone that have ``threshold`` %
+   of its n-grams, and only n-grams of such a group count. Ordered by frequency class
+   and hash, the first so many of them that any partner must share one are the set's
+   prefix. A first common n-gram at a place of the order bounds the overlap by what
+   follows it, hence the sizes of partners (positional filter).
+4. *Families.* Along each prefix n-gram's size-ordered list, sets are connected whose
+   bounds admit each other and whose groups do; sets of different families can't link.
 5. *Tiles.* Families are cut into cells of bounded size, and pairs of cells are
    computed in one task each, to which sets are sent as they are read. Inverted lists
    are ordered by set size and read from the first to the last position whose size can
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._hot import join_by_count, without
-from ._store import UNKNOWN_BYTES, dispose, materialize, shuffle_partitions, size_in_bytes, small_batches, trimmed
+from ._store import UNKNOWN_BYTES, collect_garbage, dispose, materialize, shuffle_partitions, size_in_bytes, small_batches, trimmed
 from .components import connected_components, star_forest
 
 #: N-grams of one batch of documents (8 bytes each, in a worker's memory).
@@ -63,6 +65,12 @@ BROADCAST_IDS = 4_000_000
 SELF = 2
 #: Sets whose lists share one range of positions.
 BLOCK = 64
+#: Groups of batches that a set may have partners in; a number is one byte.
+GROUPS = 256
+#: Other entries of a like size up to which an n-gram's groups are told; one with more counts for every group.
+LISTED = 16
+#: Places of n-grams' lists of groups that are looked at together.
+SLICE = 1 << 21
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.05
 
@@ -298,8 +306,23 @@ def _send_classes(n: int, n_ranges: int):
     return trimmed(run)
 
 
+_ALL = 255
+
+
+def _group(batch: int) -> int:
+    return ((batch >> 24) + 97 * (batch & 0xFFFFFF)) % GROUPS
+
+
+def _windows(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The places begin .. begin + width - 1 of every window, one after the other."""
+    return np.arange(int(width.sum())) + np.repeat(begin - (np.cumsum(width) - width), width)
+
+
 def _meet_classes(reach: int):
-    """Of one hash range: for each entry its token and a code, 0 where no other set of a like size has it, else 1 and its frequency class."""
+    """Of one hash range: for each entry its token and a code, 0 where no other set of a like size has it, else 1 and its frequency class.
+
+    With those that aren't 0 go the groups that have other such sets, ``_ALL`` of them for more than ``LISTED`` entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, token, kind, times, names, rows = 0, [], [], [], [], []
@@ -314,77 +337,143 @@ def _meet_classes(reach: int):
                 times.append(np.frombuffer(r["c"], np.uint16))
                 names.append(r["batch"])
         if names:
-            key, n = np.concatenate(token).astype(np.uint64) << _EIGHT | np.concatenate(kind), np.concatenate(times).astype(np.int64)
+            key, n = np.concatenate(token).astype(np.uint64) << _EIGHT | np.concatenate(kind), np.concatenate(times)
+            group = np.repeat(np.array([_group(name) for name in names], np.uint8), [*map(len, token)])
+            del kind, times
             order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
+            key, n, group = key[order], n[order], group[order]
             gram = key >> _EIGHT
             near = _near(gram, key.astype(np.uint8), reach) | (n > 1)
             first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            every = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(gram))))
+            run_of = np.diff(np.append(first, len(gram)))
+            every = np.repeat(np.add.reduceat(n.astype(np.int64), first), run_of)
             code = np.empty(len(key), np.uint8)
             code[order] = np.where(near, 1 + np.floor(np.log2(every)).astype(np.uint8), 0)
+            del every
+            # an entry's like sizes are a window of its n-gram's entries
+            size, end = key.astype(np.uint8).astype(np.int64), np.repeat(first + run_of, run_of)
+            low, high = gram << _EIGHT, np.minimum(size + reach, 255).astype(np.uint64)
+            from_, upto = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
+            from_[order] = np.where(size == 255, np.repeat(first, run_of), np.searchsorted(key, low | np.maximum(size - reach, 0).astype(np.uint64)))
+            upto[order] = np.where(size[end - 1] == 255, end, np.searchsorted(key, low | high, "right"))
+            place, several = np.empty(len(key), np.int32), np.empty(len(key), bool)
+            place[order], several[order] = np.arange(len(key), dtype=np.int32), n > 1
+            del key, gram, near, low, high, size, end, n
             lo = 0
             for name, t in zip(names, token):
                 c = code[lo : lo + len(t)]
+                at = lo + np.flatnonzero(c)
                 lo += len(t)
-                some = c > 0
-                rows.append((here, name, 0, c.tobytes(), _planes(t[some]), None, None, None))
+                width = (upto[at] - from_[at]).astype(np.int64)
+                few = width <= LISTED + 1
+                told, w = at[few], width[few]
+                spots = _windows(from_[told].astype(np.int64), w)
+                other = (spots != np.repeat(place[told], w)) | np.repeat(several[told], w)
+                many = np.full(len(at), _ALL, np.uint8)
+                many[few] = w - ~several[told]
+                rows.append((here, name, 0, c.tobytes(), _planes(t[c > 0]), many.tobytes(), group[spots[other]].tobytes(), None))
         for lo in range(0, len(rows), 2000):
             yield _packed(rows[lo : lo + 2000])
 
     return trimmed(run)
 
 
+def _admitted(doc: np.ndarray, many: np.ndarray, begin: np.ndarray, groups: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents by groups that may have partners, whether an n-gram counts in one of them), of n-grams sorted by document."""
+    everywhere = many == _ALL
+    long = np.where(everywhere, 0, many).astype(np.int64)
+    free = np.bincount(doc[everywhere], minlength=len(least))
+    admitted, counts = np.zeros((len(least), GROUPS), bool), everywhere.copy()
+    bounds = np.searchsorted(doc, np.arange(len(least) + 1))
+    volume = np.concatenate([[0], np.cumsum(long)])[bounds]
+    a = 0
+    while a < len(least):
+        b = max(a + 1, min(a + 4096, int(np.searchsorted(volume, volume[a] + SLICE, "right")) - 1))
+        b = min(b, len(least))
+        x, y = bounds[a], bounds[b]
+        g = groups[_windows(begin[x:y], long[x:y])]
+        d = np.repeat(doc[x:y].astype(np.int64) - a, long[x:y])
+        n = np.bincount(d * GROUPS + g, minlength=(b - a) * GROUPS).reshape(-1, GROUPS)
+        admitted[a:b] = n + free[a:b, None] >= least[a:b, None]
+        hit = np.repeat(np.arange(x, y), long[x:y])[admitted[a:b][d, g]]
+        counts[hit] = True
+        a = b
+    return admitted, counts & admitted.any(axis=1)[doc]
+
+
 def _prefixes(threshold: int):
-    """(gram, n, upto, rep, same) of a batch's prefixes: of sets that agree in the first three, the least stands for all (same)."""
+    """(gram, n, upto, rep, own, groups, same) of a batch's prefixes: of sets that agree in all but rep, the least stands for all (same)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         own = next(r for r in rows if r["kind"])
         size, times, doc, cut = np.frombuffer(own["b"], np.int64), np.frombuffer(own["c"], np.uint16), np.frombuffer(own["d"], np.uint16), np.frombuffer(own["e"], np.int64)
         ids = _ids_of(own["a"]).to_numpy(zero_copy_only=False)
-        code, gram = np.zeros(len(times), np.uint8), np.zeros(len(times), np.int64)
-        for r in rows:
-            if not r["kind"]:
-                lo, hi = cut[r["range"]], cut[r["range"] + 1]
-                code[lo:hi] = np.frombuffer(r["a"], np.uint8)
-                gram[lo:hi][code[lo:hi] > 0] = _unplane(r["b"]).astype(np.int64) | r["range"] << 32
-        code, gram = np.repeat(code, times), np.repeat(gram, times)
-        doc, gram, code = doc[code > 0], gram[code > 0], code[code > 0]
-        order = np.lexsort((gram, code, doc))
-        doc, gram = doc[order], gram[order]
+        code, gram, many = np.zeros(len(times), np.uint8), np.zeros(len(times), np.int64), np.zeros(len(times), np.uint8)
+        lists = [np.zeros(0, np.uint8)]
+        for r in sorted((r for r in rows if not r["kind"]), key=lambda r: r["range"]):
+            lo, hi = cut[r["range"]], cut[r["range"] + 1]
+            code[lo:hi] = np.frombuffer(r["a"], np.uint8)
+            some = code[lo:hi] > 0
+            gram[lo:hi][some] = _unplane(r["b"]).astype(np.int64) | r["range"] << 32
+            many[lo:hi][some] = np.frombuffer(r["c"], np.uint8)
+            lists.append(np.frombuffer(r["d"], np.uint8))
+        del rows
+        long = np.where(many == _ALL, 0, many).astype(np.int64)
+        entry = np.repeat(np.arange(len(times), dtype=np.int32), times)
+        held = code[entry] > 0
+        doc, entry = doc[held], entry[held]
+        order = np.lexsort((gram[entry], code[entry], doc))
+        doc, entry = doc[order], entry[order]
+        least = -(-threshold * size // 100)  # the overlap that any partner has
+        admitted, counts = _admitted(doc, many[entry], (np.cumsum(long) - long)[entry], np.concatenate(lists), least)
+        doc, gram = doc[counts], gram[entry[counts]]
         usable = np.bincount(doc, minlength=len(size))
         rank = np.arange(len(doc)) - (np.cumsum(usable) - usable)[doc]
-        least = -(-threshold * size // 100)  # the overlap that any partner has
         ahead = usable[doc] - rank  # a partner whose first common n-gram this is has no more in common
         at = np.flatnonzero(rank < (usable - least + 1)[doc])
         doc, gram, ahead = doc[at], gram[at], ahead[at]
         # 100 * ahead >= threshold * (n + m - ahead) bounds a partner's size m, as m * threshold <= 100 * n does
         n = size[doc]
         upto = np.minimum(100 * n // threshold, (100 + threshold) * ahead // threshold - n)
-        return _contracted(gram, n, upto, ids[doc])
+        return _contracted(gram, n, upto, ids[doc], _group(own["batch"]), np.packbits(admitted, axis=1), doc)
 
     return run
 
 
-def _contracted(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarray) -> pa.Table:
-    order = np.lexsort((rep, upto, n, gram))
-    gram, n, upto, rep = gram[order], n[order], upto[order], rep[order]
+def _contracted(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarray, own: int, masks: np.ndarray, doc: np.ndarray) -> pa.Table:
+    """doc: the place of a row's groups among masks."""
+    kinds, kind = np.unique(np.ascontiguousarray(masks).view(f"V{GROUPS // 8}").ravel(), return_inverse=True) if len(masks) else (masks, doc)
+    kind = kind[doc]
+    inside = (masks[:, own // 8] >> (7 - own % 8) & 1).astype(bool)[doc]  # others of their own batch aren't their partners
+    order = np.lexsort((rep, kind, upto, n, gram))
+    gram, n, upto, rep, kind, inside = gram[order], n[order], upto[order], rep[order], kind[order], inside[order]
     fresh = np.ones(len(gram), bool)
-    fresh[1:] = (gram[1:] != gram[:-1]) | (n[1:] != n[:-1]) | (upto[1:] != upto[:-1])
+    fresh[1:] = (gram[1:] != gram[:-1]) | (n[1:] != n[:-1]) | (upto[1:] != upto[:-1]) | (kind[1:] != kind[:-1]) | ~inside[1:]
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(gram)), 0))
     src, dst = star_forest(rep, rep[first]) if len(rep) else (rep, rep)
     more = src != dst
     src, dst = src[more], dst[more]
     none = pa.nulls(len(src), pa.int64())
     join = lambda a, b: pa.concat_arrays([pa.array(a, pa.int64()), b])
-    return pa.table({"gram": join(gram[fresh], none), "n": join(n[fresh], none), "upto": join(upto[fresh], none), "rep": join(rep[fresh], pa.array(src, pa.int64())), "same": pa.concat_arrays([pa.nulls(int(fresh.sum()), pa.int64()), pa.array(dst, pa.int64())])})
+    groups = pa.array([k.tobytes() for k in kinds], pa.binary()).take(pa.array(kind[fresh], pa.int64())) if len(gram) else pa.array([], pa.binary())
+    return pa.table(
+        {
+            "gram": join(gram[fresh], none),
+            "n": join(n[fresh], none),
+            "upto": join(upto[fresh], none),
+            "rep": join(rep[fresh], pa.array(src, pa.int64())),
+            "own": pa.array(np.full(int(fresh.sum()) + len(src), own), pa.int32()),
+            "groups": pa.concat_arrays([groups, pa.nulls(len(src), pa.binary())]),
+            "same": pa.concat_arrays([pa.nulls(int(fresh.sum()), pa.int64()), pa.array(dst, pa.int64())]),
+        }
+    )
 
 
 def _prefix_rows(reps: DataFrame, n: int, threshold: int, n_ranges: int) -> DataFrame:
     sent = reps.mapInArrow(_send_classes(n, n_ranges), _SENT)
     found = sent.repartitionById(n_ranges, "range").mapInArrow(_meet_classes(_class_reach(threshold)), _SENT)
-    return found.groupBy("batch").applyInArrow(_prefixes(threshold), "gram long, n long, upto long, rep long, same long")
+    return found.groupBy("batch").applyInArrow(_prefixes(threshold), "gram long, n long, upto long, rep long, own int, groups binary, same long")
 
 
 def list_edges(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -415,6 +504,47 @@ def list_edges(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarra
     return np.concatenate([rep[spot[chained]], rep[hung]]), np.concatenate([rep[spot[chained + 1]], rep[spot[lo[hung]]]])
 
 
+def group_edges(gram: np.ndarray, n: np.ndarray, upto: np.ndarray, rep: np.ndarray, own: np.ndarray, masks: np.ndarray, threshold: int, limit: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """``list_edges`` of the sets alone whose groups (own, and as bits those admitted) admit each other; a list of more than ``limit`` looks is taken whole."""
+    if not len(gram):
+        return rep, rep
+    several = np.concatenate([[False], gram[1:] == gram[:-1]])
+    several[:-1] |= several[1:]
+    gram, n, upto, rep, own, masks = (x[several] for x in (gram, n, upto, rep, own, masks))
+    if not len(gram):
+        return rep, rep
+    _, which = np.unique(gram, return_inverse=True)
+    there = np.unique(which * GROUPS + own)  # the groups of each list
+    begin = np.searchsorted(there, np.arange(which[-1] + 2) * GROUPS)
+    first = np.searchsorted(which, np.arange(which[-1] + 2))
+    looks = np.concatenate([[0], np.cumsum(np.diff(first) * np.diff(begin))])
+    src, dst, a = [rep[:0]], [rep[:0]], 0
+    while a <= which[-1]:
+        b = max(a + 1, int(np.searchsorted(looks, looks[a] + limit, "right")) - 1)
+        x, y = first[a], first[b]
+        if looks[b] - looks[a] > limit:
+            found = list_edges(gram[x:y], n[x:y], upto[x:y], rep[x:y], threshold)
+        else:
+            width = np.diff(begin)[which[x:y]]
+            to = there[_windows(begin[which[x:y]], width)] % GROUPS
+            row = np.repeat(np.arange(x, y), width)
+            ok = (masks[row, to // 8] >> (7 - to % 8).astype(np.uint8) & 1).astype(bool)
+            row, to = row[ok], to[ok]
+            key = (which[row] * GROUPS + np.minimum(own[row], to)) * GROUPS + np.maximum(own[row], to)
+            order = np.lexsort((n[row], key))
+            row, to, key = row[order], to[order], key[order]
+            if len(key):
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                sides = np.minimum.reduceat(own[row], at) != np.maximum.reduceat(own[row], at)
+                both = np.repeat(sides | (key[at] // GROUPS % GROUPS == key[at] % GROUPS), np.diff(np.append(at, len(key))))
+                row, key = row[both], key[both]
+            found = list_edges(key, n[row], upto[row], rep[row], threshold) if len(key) else (rep[:0], rep[:0])
+        src.append(found[0])
+        dst.append(found[1])
+        a = b
+    return np.concatenate(src), np.concatenate(dst)
+
+
 def _chain(threshold: int):
     """Edges of the lists (rows sorted by gram and n), contracted."""
 
@@ -424,7 +554,7 @@ def _chain(threshold: int):
 
         def take(rows: list[np.ndarray]) -> None:
             nonlocal src, dst, held
-            a, b = list_edges(*rows, threshold)
+            a, b = group_edges(*rows, threshold)
             src, dst = np.concatenate([src, a]), np.concatenate([dst, b])
             if len(src) > held:
                 src, dst = star_forest(src, dst)
@@ -433,7 +563,8 @@ def _chain(threshold: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            rows.append(W.string_buffers(batch.column(5))[0].reshape(-1, GROUPS // 8))
             rows = [np.concatenate([x, y]) for x, y in zip(kept, rows)] if kept else rows
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on in the next batch
             take([x[:cut] for x in rows])
@@ -615,6 +746,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         docs = materialize(docs, "documents")
     n_ranges = max(shuffle_partitions(docs.sparkSession), size_in_bytes(docs) // RANGE_BYTES)
     sizes = materialize(_shared_counts(docs, n, threshold, n_ranges), "sizes")
+    collect_garbage(docs.sparkSession)  # after each exchange, so that their files don't add up
     keys = ["h1", "h2", "n"]
     members = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*keys, "maybe")).alias("s")).select("doc_id", "s.*")
     members = materialize(members, "members")
@@ -623,17 +755,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = materialize(classes.where("maybe").select(F.col("rep").alias("doc_id")), "candidates")
     reps = docs.join(F.broadcast(some) if some.count() <= broadcast_ids else some, "doc_id", "left_semi")
     prefix = materialize(_prefix_rows(reps, n, threshold, n_ranges), "prefixes")
-    lists = prefix.where("same is null").select("gram", "n", "upto", "rep").repartition("gram").sortWithinPartitions("gram", "n")
+    collect_garbage(docs.sparkSession)
+    lists = prefix.where("same is null").select("gram", "n", "upto", "rep", "own", "groups").repartition("gram").sortWithinPartitions("gram", "n")
     edges = lists.mapInArrow(_chain(threshold), "src long, dst long").unionByName(prefix.where("same is not null").select(F.col("rep").alias("src"), F.col("same").alias("dst")))
     families = connected_components(edges).select(F.col("id").alias("rep"), F.col("component").alias("family"))
     dispose(prefix, some)
 
     meta = materialize(families.join(classes, "rep").select("rep", "family", "n", "h1", "h2", "mult"), "families")
+    del lists, edges, families
+    collect_garbage(docs.sparkSession)
     placed = materialize(_placed(meta, threshold, cell_shingles, broadcast_ids).select(F.col("rep").alias("doc_id"), "mult", "h1", "h2", "where"), "placed")
     placed_few = F.broadcast(placed) if placed.count() <= broadcast_ids // 8 else placed
     tiles = docs.join(placed_few, "doc_id").select("doc_id", "text", "mult", "h1", "h2", "where").mapInArrow(_to_tiles(n), "tile long, side int, rep long, mult long, grams binary")
     linked = materialize(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), "rep long, links long, root long"), "linked")
     dispose(placed, meta)
+    del tiles
+    collect_garbage(docs.sparkSession)
 
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(linked.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fernglass.llm import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, queries, token_count, url_filter, warc
 from fernglass.llm.queries import tokenizer_file
 
-from plain import components, contamination_of, language_model, language_of, line_dedup_of
+from plain import components, contamination_of, jaccard_groups_of, language_model, language_of, line_dedup_of, shingles
 
 CLASH = "text string, score double, n string, row int, key long, h1 string, family int, __key int"
 
@@ -345,6 +345,64 @@ def test_jaccard_groups_of_repeated_ids_and_hot_grams(spark, broadcast):
     assert got in [answers({i: own[k % len(own)] for i, own in sets.items()}) for k in (0, 1)]
 
 
+@pytest.fixture
+def files_apart(spark):
+    """Files that are read become tasks of their own, so that batches are many."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4000")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_jaccard_families_without_sets_that_share_a_little_with_many(spark, tmp_path, monkeypatch, files_apart):
+    phrase = lambda a, b: " ".join(f"{x}{min(a, b)}_{max(a, b)}" for x in "pqrstuvwx")
+    texts = [" ".join(phrase(i, j) for j in range(12) if j != i) for i in range(12)]  # 88 of 98 n-grams occur elsewhere, 8 in any one
+    texts += [texts[0] + " more", "a b c d e f g", "a b c d e f h"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(15, "doc_id").write.parquet(str(tmp_path / "d"))
+    seen, write = set(), ngram_join.materialize
+
+    def watch(df, tag, *rest):
+        found = write(df, tag, *rest)
+        if tag == "families":
+            seen.update(r["rep"] for r in found.collect())
+        return found
+
+    monkeypatch.setattr(ngram_join, "materialize", watch)
+    got = {tuple(r) for r in ngram_join.jaccard_groups(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    linked = {0: (1, 0), 12: (1, 0), 13: (1, 13), 14: (1, 13)}
+    assert got == {(i, len(set(zip(t.split(), t.split()[1:]))), *linked.get(i, (0, i))) for i, t in enumerate(texts)}
+    assert set(linked) <= seen and len(seen) < 12  # not all 15
+
+
+def test_jaccard_groups_over_many_batches(spark, tmp_path, files_apart):
+    rng = random.Random(31)
+    base = [[f"w{rng.randrange(90)}" for _ in range(rng.randint(4, 50))] for _ in range(25)]
+    texts = {i: " ".join(w if rng.random() > rng.choice([0, 0.05, 0.12]) else f"w{rng.randrange(90)}" for w in base[min(24, i % 40)]) for i in range(240)}  # a group of more than LISTED batches too
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(30).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert docs.rdd.getNumPartitions() >= 25
+    got = {r["doc_id"]: (r["n_similar"], r["component_id"]) for r in ngram_join.jaccard_groups(docs, cell_shingles=200).collect()}
+    assert got == jaccard_groups_of({i: shingles(t) for i, t in texts.items()})
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 40, 1])
+def test_edges_of_sets_whose_groups_admit_each_other(limit):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        k = 120
+        gram, n = rng.integers(0, 15, k), rng.integers(5, 30, k)
+        order = np.lexsort((n, gram))
+        gram, n = gram[order], n[order]
+        upto, own, admits = np.minimum(n + rng.integers(-4, 8, k), 100 * n // 60), rng.integers(0, 9, k), rng.random((k, ngram_join.GROUPS)) < 0.3
+        a, b = ngram_join.group_edges(gram, n, upto, np.arange(k), own, np.packbits(admits, axis=1), 60, limit)
+        may = [(i, j) for i in range(k) for j in range(i) if gram[i] == gram[j] and n[i] <= upto[j] and n[j] <= upto[i] and admits[i, own[j]] and admits[j, own[i]]]
+        comp = components(list(range(k)), [*zip(a.tolist(), b.tolist())])
+        assert all(comp[i] == comp[j] for i, j in may)
+        if limit > k * 9:  # else lists are taken whole
+            assert all(gram[i] == gram[j] for i, j in zip(a, b)) and len(a) < k
+
+
 # -- 8 --------------------------------------------------------------------------------
 
 
