@@ -15,6 +15,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Commands run here remove their shuffle files as they end; else these stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and fixes its content."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path, compression=compression)
+    with _shuffles_removed(spark):
+        df.write.parquet(path, compression=compression)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[id(found)] = found, path
     return found

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import time
 from collections import Counter
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fernglass.llm import bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, queries, token_count, url_filter, warc
+from fernglass.llm import _store, bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, queries, token_count, url_filter, warc
 from fernglass.llm.queries import tokenizer_file
 
 from plain import components, contamination_of, jaccard_groups_of, language_model, language_of, line_dedup_of, shingles
@@ -530,3 +531,15 @@ def test_query_matches_sql(spark, name):
     columns = sorted(df.columns)
     got = sorted(str(tuple(r)) for r in df.select(columns).collect())
     assert got == sorted(str(r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
+
+
+def test_materialize_removes_its_shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", env.blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, rows = files(), spark.range(1000).repartition(3)
+    found = _store.materialize(rows, "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and found.count() == rows.count() == 1000  # rows stays alive, so no garbage was collected
