@@ -11,14 +11,22 @@ document itself. It grows with the corpus, so no task can hold one automaton of
 to show every document every shard of it would take time as documents times reference
 text. The states that a document's words reach in that automaton are looked up instead:
 a state is the hash of a run of words, and a run leads on from a word if the reference
-has it. Rounds ask for ever longer runs, of the lengths in ``ROUNDS``, from those words alone
+has it. Rounds ask for ever longer runs, of 2 to 8 words and then of twice as many up to
+the longest text, from those words alone
 whose run of the round before another document had. In a round tasks send each batch's distinct hashes once,
 packed by hash range, with whether the batch offers them, asks for them or both; ranges
 return a bit for each that is asked for. What is moved grows as the corpus does.
 
-A phrase is thus the longest match of one of these lengths (one word where none
-matches); a longer match is several phrases. With all lengths up to the longest text's
-it is the longest match, and the factoring is that of the suffix automaton.
+A phrase is the longest match (one word where none matches), so the factoring is that of
+the suffix automaton. The rounds leave it open where a match of more than 8 words ends, but
+for a span. No match ends before one that begins further left, which narrows the spans;
+those that a factoring can come upon are settled by further rounds (``Settling``): a batch
+tells which runs such spans begin with, all that have one of these runs offer it at every
+length that a span leaves open, or at ``SPLIT`` of them if it is wider, and so on until no
+span is open.
+
+Where ``rounds`` are given, a phrase is the longest match of one of their lengths, and a
+longer match several phrases.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. Hashes of runs are
 compared in 40 bits within a range.
@@ -33,6 +41,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -45,8 +54,12 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._store import collect_garbage, dispose, materialize, new_path, remove, shuffle_partitions, size_in_bytes, small_batches, trimmed
 
-#: Words of the runs that are looked up, ascending from 2, by the round in which they are; later ones are asked for of few words.
+#: Rounds of a factoring into phrases of few lengths.
 ROUNDS = ((2,), (3,), (4,), (6, 8), (12, 16, 32, 64))
+#: Words of the first runs that are looked up for longest matches, by the round in which they are.
+SHORT = ((2,), (3,), (4, 5), (6, 7, 8))
+#: How many lengths of a wider span are asked for at once.
+SPLIT = 128
 #: Bytes of text of one batch.
 BATCH_BYTES = 4 << 20
 #: Bytes of text a hash range.
@@ -155,24 +168,32 @@ class _Text:
 
     def runs(self, at: np.ndarray, length: int) -> np.ndarray:
         h = (self.sums[at + length] - self.sums[at]) * self.down[at]
-        return W.mix(h + np.uint64(length) * W._MULT)
+        return W.mix(h + np.asarray(length, np.uint64) * W._MULT)
 
+    @property
+    def end(self) -> np.ndarray:
+        """Of every word, where its text ends."""
+        return self.bounds[1:][self.doc]
 
-class Round:
-    """What a batch knows of its runs of some lengths by itself, and what it has to ask.
 
-    ``live``: the words from which the longest run of the round before was known, or was
-    another document's and the reference's own, so that it may lead others on.
-    """
+def _keys(h: np.ndarray, n_ranges: int) -> np.ndarray:
+    """Hashes as their range and 40 bits."""
+    key = (((h >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)) << _FORTY
+    return key | h & _TOKEN
+
+
+def _cut(key: np.ndarray, n_ranges: int) -> list[np.ndarray]:
+    """Sorted keys by range."""
+    cut = np.searchsorted(key >> _FORTY, np.arange(n_ranges + 1, dtype=np.uint64))
+    return [key[a:b] for a, b in zip(cut, cut[1:])]
+
 
-    def __init__(self, text: _Text, reference: np.ndarray, live: np.ndarray, lengths: tuple[int, ...], n_ranges: int):
-        left = (text.bounds[1:][text.doc] - np.arange(len(live))) * live
-        each = [np.flatnonzero(left >= n) for n in lengths]
-        self.ends = np.cumsum([0, *map(len, each)]).tolist()
-        self.at = np.concatenate(each)
-        h = np.concatenate([text.runs(at, n) for at, n in zip(each, lengths)])
-        key = (((h >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)) << _FORTY
-        key |= h & _TOKEN
+class Round:
+    """What a batch knows of some runs by itself, and what it has to ask: those of ``length`` words from the places ``at`` on."""
+
+    def __init__(self, text: _Text, reference: np.ndarray, at: np.ndarray, length: np.ndarray, n_ranges: int):
+        self.at = at
+        key = _keys(text.runs(at, length), n_ranges)
         order = np.argsort(key)
         key, doc = key[order], text.doc[self.at][order]
         fresh = np.ones(len(key), bool)
@@ -194,8 +215,22 @@ class Round:
 
     def parts(self, which: np.ndarray) -> list[np.ndarray]:
         """The hashes of some runs by range."""
-        cut = np.searchsorted(self.key[which] >> _FORTY, np.arange(self.n_ranges + 1, dtype=np.uint64))
-        return [self.key[which[a:b]] for a, b in zip(cut, cut[1:])]
+        return _cut(self.key[which], self.n_ranges)
+
+    def sent(self, file: int, batch: int) -> list[tuple]:
+        """What goes to the ranges."""
+        each = (self.parts(np.flatnonzero(x)) for x in (self.holders == 0, self.holders == 1, self.holders > 1))
+        return [(part, file, batch, part, _split40(a), _split40(b), _split40(c)) for part, (a, b, c) in enumerate(zip(*each)) if len(a) or len(b) or len(c)]
+
+    def answered(self, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``known`` by the answers of the ranges."""
+        offered, present = [np.zeros(0, bool)], [np.zeros(0, bool)]
+        for i, part in enumerate(self.parts(self.asks)):
+            if len(part):
+                bits = np.unpackbits(np.frombuffer(found[i], np.uint8), count=2 * len(part)).astype(bool)
+                offered.append(bits[: len(part)])
+                present.append(bits[len(part) :])
+        return self.known(np.concatenate(offered), np.concatenate(present))
 
     def known(self, offered: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is each place's run known, does it stay live), given what other batches offer and hold of the runs that were asked."""
@@ -255,31 +290,48 @@ def _answers(path: str, file: int) -> dict[int, dict[int, bytes]]:
     return out
 
 
-_LIVE = 128
+_MOST_LENGTHS = 128
 _Rounds = tuple[tuple[int, ...], ...]
 
 
+def _places(text: _Text, live: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """By length: the live words that have so many up to their text's end."""
+    left = (text.end - np.arange(len(live))) * live
+    return [np.flatnonzero(left >= n) for n in lengths]
+
+
+def _round(text: _Text, reference: np.ndarray, live: np.ndarray, lengths: tuple[int, ...], n_ranges: int) -> tuple[Round, list[int]]:
+    """(all runs of some lengths from live words on, where each length begins in them)."""
+    each = _places(text, live, lengths)
+    sizes = [*map(len, each)]
+    return Round(text, reference, np.concatenate(each), np.repeat(np.array(lengths), sizes), n_ranges), np.cumsum([0, *sizes]).tolist()
+
+
+def _packed(level: np.ndarray, held: np.ndarray) -> bytes:
+    return level.tobytes() + (b"" if np.array_equal(level, held) else held.tobytes())
+
+
+def _unpacked(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    level = np.frombuffer(b, np.uint8, n)
+    return level, np.frombuffer(b, np.uint8, n, n) if len(b) > n else level
+
+
 def _levels(text: _Text, reference: np.ndarray, k: int, rounds: _Rounds, n_ranges: int, found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(how many of the lengths are known from each word on, is it live) after round k, or before the first."""
+    """After round k, or before the first: how many of the lengths are known from each word on, and of how many its run stays live.
+
+    A run stays live if it is known, or is another document's and the reference's own, so that it may lead others on.
+    """
     if k < 0:
-        return np.zeros(len(text.words), np.uint8), np.ones(len(text.words), bool)
-    state = np.frombuffer(found[-1], np.uint8)
-    level, live = state % _LIVE, state >= _LIVE
-    r = Round(text, reference, live, rounds[k], n_ranges)
-    offered, present = [np.zeros(0, bool)], [np.zeros(0, bool)]
-    for i, part in enumerate(r.parts(r.asks)):
-        if len(part):
-            bits = np.unpackbits(np.frombuffer(found[i], np.uint8), count=2 * len(part)).astype(bool)
-            offered.append(bits[: len(part)])
-            present.append(bits[len(part) :])
-    known, stays = r.known(np.concatenate(offered), np.concatenate(present))
+        return np.zeros(len(text.words), np.uint8), np.zeros(len(text.words), np.uint8)
+    level, held = (x.copy() for x in _unpacked(found[-1], len(text.words)))
     so_far = sum(map(len, rounds[:k]))
-    for j, (a, b) in enumerate(zip(r.ends, r.ends[1:])):
-        at = r.at[a:b][known[a:b]]
-        level[at[level[at] == so_far + j]] += 1
-    live = np.zeros(len(live), bool)
-    live[r.at[a:b][stays[a:b]]] = True
-    return level, live
+    r, ends = _round(text, reference, held == so_far, rounds[k], n_ranges)
+    known, stays = r.answered(found)
+    for j, (a, b) in enumerate(zip(ends, ends[1:])):
+        for count, yes in ((level, known), (held, stays)):
+            at = r.at[a:b][yes[a:b]]
+            count[at[count[at] == so_far + j]] += 1
+    return level, held
 
 
 _SENT = "range int, file int, batch int, part int, a binary, b binary, c binary"
@@ -298,12 +350,9 @@ def _ask(k: int, rounds: _Rounds, n_ranges: int, before: str | None, batch_bytes
             found = _answers(before, file) if before else {}
             for i, (_, texts, mark) in enumerate(_batches(uri, batch_bytes)):
                 text = _Text(texts)
-                level, live = _levels(text, mark, k - 1, rounds, n_ranges, found.get(i, {}))
-                r = Round(text, mark, live, rounds[k], n_ranges)
-                rows = [(i % n_ranges, file, i, -1, (level + _LIVE * live.astype(np.uint8)).tobytes(), None, None)]
-                for part, (a, b, c) in enumerate(zip(*(r.parts(np.flatnonzero(x)) for x in (r.holders == 0, r.holders == 1, r.holders > 1)))):
-                    if len(a) or len(b) or len(c):
-                        rows.append((part, file, i, part, _split40(a), _split40(b), _split40(c)))
+                level, held = _levels(text, mark, k - 1, rounds, n_ranges, found.get(i, {}))
+                r, _ = _round(text, mark, held == sum(map(len, rounds[:k])), rounds[k], n_ranges)
+                rows = [(i % n_ranges, file, i, -1, _packed(level, held), None, None), *r.sent(file, i)]
                 yield _rows(rows)
 
     return trimmed(run)
@@ -323,7 +372,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             if r["part"] < 0:
-                rows.append((0, r["file"], r["batch"], -1, r["a"], None, None))
+                rows.append((0, r["file"], r["batch"], r["part"], r["a"], None, None))
                 continue
             a, b, c = (_join40(r[x]) for x in "abc")
             kept.append((r["file"], r["batch"], r["part"]))
@@ -348,18 +397,288 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows[lo : lo + 500])
 
 
+class Spans:
+    """(place, words, width): a run of so many words, and how many lengths from it on it stands for; of these, what is open lies between ``lo`` and ``hi``."""
+
+    _FIELDS = ("at", "words", "width", "lo", "hi")
+
+    def __init__(self, at: np.ndarray, words: np.ndarray, width: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
+        self.at, self.words, self.width = (np.asarray(x, np.int64) for x in (at, words, width))
+        self.lo, self.hi = np.zeros(len(at), np.int64) if lo is None else lo, np.zeros(len(at), np.int64) if hi is None else hi
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def where(self, which: np.ndarray) -> Spans:
+        return Spans(*(getattr(self, x)[which] for x in self._FIELDS))
+
+    def within(self, lo: np.ndarray, hi: np.ndarray) -> Spans:
+        return Spans(self.at, self.words, self.width, lo, hi)
+
+    def and_then(self, other: Spans) -> Spans:
+        return Spans(*(np.concatenate([getattr(self, x), getattr(other, x)]) for x in self._FIELDS))
+
+    def to_bytes(self) -> bytes:
+        return np.concatenate([getattr(self, x) for x in self._FIELDS]).astype(np.int32).tobytes()
+
+    @staticmethod
+    def from_bytes(b: bytes) -> Spans:
+        return Spans(*np.frombuffer(b, np.int32).astype(np.int64).reshape(len(Spans._FIELDS), -1))
+
+    def step(self, split: int) -> np.ndarray:
+        """By how many words the lengths differ that are asked for next."""
+        return np.maximum(1, -(-self.width // split))
+
+    def least(self, split: int) -> np.ndarray:
+        """The longest of these lengths that needn't be asked for."""
+        step = self.step(split)
+        return self.words + np.maximum(0, self.lo - self.words) // step * step
+
+    def longer(self, end: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
+        """(span, words) of the lengths that are asked for next."""
+        step, least = self.step(split), self.least(split)
+        most = np.minimum(np.minimum(self.hi, self.words + self.width - 1), end[self.at] - self.at)
+        n = np.maximum(0, (most - least) // step)
+        span = np.repeat(np.arange(len(n)), n)
+        return span, least[span] + (np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n) + 1) * step[span]
+
+
+def ends_of_matches(text: _Text, level: np.ndarray, lengths: list[int], spans: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """Where the longest match from each word on ends, at least and at most, given how many of the lengths are known, and spans."""
+    at, end = np.arange(len(level)), text.end
+    least, most = np.array([1, *lengths]), np.array([*(n - 1 for n in lengths), 1 << 40])
+    lo, hi = np.minimum(at + least[level], end), np.minimum(at + most[level], end)
+    np.maximum.at(lo, spans.at, spans.at + spans.words)
+    np.minimum.at(hi, spans.at, spans.at + spans.words + spans.width - 1)
+    # no match ends before one that begins further left; texts lie one after the other
+    lo = np.maximum.accumulate(lo)
+    hi = np.minimum.accumulate(hi[::-1])[::-1]
+    return lo, np.maximum(lo, hi)
+
+
+def open_places(lo: np.ndarray, hi: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The words at which a phrase may begin whose end isn't known, in order."""
+    unknown = np.concatenate([[0], np.cumsum(lo < hi)])
+    out: list[int] = []
+    for d in np.flatnonzero(unknown[bounds[1:]] > unknown[bounds[:-1]]).tolist():
+        a, b = int(bounds[d]), int(bounds[d + 1])
+        low, high = lo[a:b], hi[a:b]
+        to, most = low.tolist(), high.tolist()
+        todo, seen = [a], set()
+        while todo:
+            i = heappop(todo)
+            while i < b and i not in seen:
+                seen.add(i)
+                j = to[i - a]
+                if j < most[i - a]:
+                    out.append(i)
+                    part = slice(j - a, most[i - a] - a + 1)
+                    sure = low[part] == high[part]
+                    for x in (np.unique(low[part][sure]), np.flatnonzero(~sure) + j):
+                        for y in x.tolist():
+                            if y not in seen:
+                                heappush(todo, y)
+                    break
+                i = j
+    return np.unique(np.array(out, np.int64))
+
+
+class Settling:
+    """What a batch knows of its spans: those that it has asked about, which of them are open, and the runs that others' spans may begin with."""
+
+    def __init__(self, text: _Text, mark: np.ndarray, lengths: list[int], split: int, every: bool):
+        self.text, self.mark, self.lengths, self.split, self.every = text, mark, lengths, split, every
+
+    def begin(self, level: np.ndarray, held: np.ndarray) -> None:
+        self.level = level
+        self.asked = Spans(*np.zeros((3, 0)))
+        at = open_places(*self.ends(), self.text.bounds)
+        words = np.array([1, *self.lengths])[level[at]]
+        self.asked, self.open = Spans(at, words, words), np.ones(len(at), bool)
+        self._all_members(held)
+
+    def _all_members(self, held: np.ndarray) -> None:
+        long = [(j, n) for j, n in enumerate(self.lengths, 1) if n >= SHORT[-1][-1]]
+        held = held * self.mark[self.text.doc]
+        each = [np.flatnonzero(held >= j) for j, _ in long]
+        words = np.repeat(np.array([n for _, n in long]), [*map(len, each)])
+        self.held, self.members = held, Spans(np.concatenate(each), words, words)
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        return ends_of_matches(self.text, self.level, self.lengths, self.asked)
+
+    def state(self, file: int, batch: int, n_ranges: int) -> list[tuple]:
+        """Members are given as levels before the first choice."""
+        rest = self.members.to_bytes() if self.held is None else None
+        rows = [(-1, _packed(self.level, self.level if self.held is None else self.held)), (-2, self.asked.to_bytes()), (-3, self.open.tobytes()), (-4, rest)]
+        return [(batch % n_ranges, file, batch, part, b, None, None) for part, b in rows if b is not None]
+
+    def restore(self, found: dict[int, bytes]) -> None:
+        self.level, held = _unpacked(found[-1], len(self.text.words))
+        self.asked, self.open = Spans.from_bytes(found[-2]), np.frombuffer(found[-3], bool)
+        if -4 in found:
+            self.held, self.members = None, Spans.from_bytes(found[-4])
+        else:
+            self._all_members(held)
+
+    def asking(self) -> Spans:
+        """The open spans."""
+        spans, (lo, hi) = self.asked.where(self.open), self.ends()
+        return spans.within(lo[spans.at] - spans.at, hi[spans.at] - spans.at)
+
+    def want(self, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the members' runs, the run of each member)."""
+        return np.unique(_short_keys(self.text.runs(self.members.at, self.members.words), n_ranges), return_inverse=True)
+
+    def sent(self, file: int, batch: int, n_ranges: int) -> list[tuple]:
+        """The members' runs (a), those that open spans begin with (b) and between which lengths these are open (c)."""
+        asking = self.asking()
+        own, run = np.unique(_short_keys(self.text.runs(asking.at, asking.words), n_ranges), return_inverse=True)
+        between = _between(run, asking.lo, asking.hi, len(own))
+        rows, at = [], 0
+        for part, (a, b) in enumerate(zip(_cut(self.want(n_ranges)[0], n_ranges), _cut(own, n_ranges))):
+            if len(a) or len(b):
+                rows.append((part, file, batch, part, _split24(a), _split24(b), between[:, at : at + len(b)].tobytes()))
+            at += len(b)
+        return rows
+
+    def choose(self, found: dict[int, bytes], n_ranges: int) -> None:
+        """Leaves the members whose run an open span begins with."""
+        key, run = self.want(n_ranges)
+        some, between = [np.zeros(0, bool)], [np.zeros((2, 0), np.int32)]
+        for i, part in enumerate(_cut(key, n_ranges)):
+            if len(part):
+                n = -(-len(part) // 8)
+                some.append(np.unpackbits(np.frombuffer(found[i], np.uint8, n), count=len(part)).astype(bool))
+                between.append(np.frombuffer(found[i], np.int32, offset=n).reshape(2, -1) if len(found[i]) > n else between[0])
+        yes, (lo, hi) = np.concatenate(some), np.concatenate(between, axis=1).astype(np.int64)
+        place = np.cumsum(yes) - 1
+        members, run = self.members.where(yes[run]), place[run[yes[run]]]
+        hi = hi[run]
+        if self.every:  # what is longer than any match is of no use to others
+            hi = np.minimum(hi, self.ends()[1][members.at] - members.at)
+        self.members, self.held = members.within(lo[run], hi), None
+
+    def round(self, n_ranges: int) -> tuple[Round, Spans, np.ndarray, np.ndarray]:
+        """(the lengthened runs, open spans and members, of which of these each run is, its words)."""
+        both = self.asking().and_then(self.members)
+        span, words = both.longer(self.text.end, self.split)
+        return Round(self.text, self.mark, both.at[span], words, n_ranges), both, span, words
+
+    def learn(self, found: dict[int, bytes], n_ranges: int) -> None:
+        """Narrows the open spans to what the ranges answer; members are the lengthened runs, where these stand for several lengths."""
+        r, both, span, words = self.round(n_ranges)
+        known, stays = r.answered(found)
+        n, step, over = int(self.open.sum()), both.step(self.split), both.words + both.width
+        reached = both.least(self.split)
+        rest = np.flatnonzero((np.arange(len(both)) >= n) & (step > 1) & (reached <= self.text.end[both.at] - both.at) & (reached <= both.hi) & (reached < over))
+        longer = reached[rest]
+        np.maximum.at(reached, span[known], words[known])
+        self.asked.words[self.open] = reached[:n]
+        self.asked.width[self.open] = np.minimum(step, over - reached)[:n]
+        more = np.flatnonzero(stays & (span >= n) & (step[span] > 1))
+        of = np.concatenate([rest, span[more]])
+        longer = np.concatenate([longer, words[more]])
+        self.members = Spans(both.at[of], longer, np.minimum(step[of], over[of] - longer))
+        self.open = np.isin(self.asked.at, open_places(*self.ends(), self.text.bounds))
+
+
+def _short_keys(h: np.ndarray, n_ranges: int) -> np.ndarray:
+    """Keys of 24 bits in a range: runs that are alike in them are all wanted if one is."""
+    return _keys(h, n_ranges) & ~np.uint64(0xFFFF << 24)
+
+
+def _split24(key: np.ndarray) -> bytes:
+    return (key >> np.uint64(8)).astype(np.uint16).tobytes() + key.astype(np.uint8).tobytes()
+
+
+def _join24(b: bytes) -> np.ndarray:
+    n = len(b) // 3
+    return np.frombuffer(b, np.uint16, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(b, np.uint8, n, 2 * n)
+
+
+def _between(run: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """The least lo and the greatest hi of each of n runs."""
+    out = np.empty((2, n), np.int32)
+    out[0], out[1] = np.iinfo(np.int32).max, 0
+    np.minimum.at(out[0], run, lo.astype(np.int32))
+    np.maximum.at(out[1], run, hi.astype(np.int32))
+    return out
+
+
+def _settle(what: str, k: int, rounds: _Rounds, n_ranges: int, before: str, batch_bytes: int, split: int, every: bool):
+    """Further rounds of (file, uri) rows: ``want`` sends the runs that spans begin with and that members have, ``lengthen`` their lengthened runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, uri in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
+            found = _answers(before, file)
+            for i, (_, texts, mark) in enumerate(_batches(uri, batch_bytes)):
+                here = _settled(_Text(texts), mark, what, k, rounds, n_ranges, found.get(i, {}), split, every)
+                rows = here.state(file, i, n_ranges)
+                if what == "want":
+                    rows += here.sent(file, i, n_ranges)
+                else:
+                    rows += here.round(n_ranges)[0].sent(file, i)
+                yield _rows(rows)
+
+    return trimmed(run)
+
+
+def _settled(text: _Text, mark: np.ndarray, what: str, k: int, rounds: _Rounds, n_ranges: int, found: dict[int, bytes], split: int, every: bool) -> Settling:
+    """A batch as it is before the k-th time that it sends what it wants or lengthens."""
+    here = Settling(text, mark, [*chain.from_iterable(rounds)], split, every)
+    if what == "want" and not k:
+        here.begin(*_levels(text, mark, len(rounds) - 1, rounds, n_ranges, found))
+        return here
+    here.restore(found)
+    here.choose(found, n_ranges) if what == "lengthen" else here.learn(found, n_ranges)
+    return here
+
+
+def _meet_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one hash range: a bit for each run that a batch's members have, whether a span begins with it, and between which lengths these spans are open."""
+    rows, kept, wanted, open_between = [], [], [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.int32)]
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["part"] < 0:
+                rows.append((0, r["file"], r["batch"], r["part"], r["a"], None, None))
+                continue
+            kept.append((r["file"], r["batch"], r["part"], _join24(r["a"])))
+            if r["b"]:
+                wanted.append(_join24(r["b"]))
+                open_between.append(np.frombuffer(r["c"], np.int32).reshape(2, -1))
+    some, run = np.unique(np.concatenate(wanted), return_inverse=True)
+    between = _between(run, *np.concatenate(open_between, axis=1), len(some))
+    for file, number, part, keys in kept:
+        if len(keys):
+            at = np.minimum(np.searchsorted(some, keys), max(0, len(some) - 1))
+            yes = some[at] == keys if len(some) else np.zeros(len(keys), bool)
+            rows.append((0, file, number, part, np.packbits(yes).tobytes() + between[:, at[yes]].tobytes(), None, None))
+    for lo in range(0, len(rows), 500):
+        yield _rows(rows[lo : lo + 500])
+
+
 _SCORE = [("n_words", pa.int64()), ("n_phrases", pa.int64()), ("n_own", pa.int64()), ("ref_words", pa.int64()), ("score", pa.float64())]
 
 
-def _factor(rounds: _Rounds, n_ranges: int, before: str, total: int, batch_bytes: int):
+def _factor(rounds: _Rounds, settled: int, n_ranges: int, before: str, total: int, batch_bytes: int, split: int, every: bool):
+    """Scores, after ``settled`` times of lengthening; without it phrases have the lengths of the rounds."""
     step_of = np.array([1, *chain.from_iterable(rounds)])
 
+    def steps(text: _Text, mark: np.ndarray, found: dict[int, bytes]) -> np.ndarray:
+        if not settled:
+            return step_of[_levels(text, mark, len(rounds) - 1, rounds, n_ranges, found)[0]]
+        here = _settled(text, mark, "want", settled, rounds, n_ranges, found, split, every)
+        if here.open.any():
+            raise AssertionError("spans are open")
+        return here.ends()[0] - np.arange(len(text.words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, uri in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
             found = _answers(before, file)
             for i, (ids, texts, mark) in enumerate(_batches(uri, batch_bytes)):
                 text = _Text(texts)
-                step = step_of[_levels(text, mark, len(rounds) - 1, rounds, n_ranges, found.get(i, {}))[0]]
+                step = steps(text, mark, found.get(i, {}))
                 rows, at = [], text.bounds.tolist()
                 for d, (a, b) in enumerate(zip(at, at[1:])):
                     own_step, phrases, j = step[a:b].tolist(), 0, 0
@@ -376,16 +695,34 @@ def _factor(rounds: _Rounds, n_ranges: int, before: str, total: int, batch_bytes
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words of reference rows, words of the longest text, how many rows aren't reference) of batches."""
     for batch in batches:
         data, offsets = W.string_buffers(batch.column(0))
-        n = sum(len(W.split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], W.WHITESPACE)[0]) for lo, hi in W.chunks(offsets))
-        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+        mark = batch.column(1).to_numpy(zero_copy_only=False)
+        n = most = 0
+        for lo, hi in W.chunks(offsets):
+            row = W.split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], W.WHITESPACE)[1]
+            each = np.bincount(row, minlength=hi - lo)
+            n, most = n + int(each[mark[lo:hi]].sum()), max(most, int(each.max(initial=0)))
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([most], pa.int64()), pa.array([int((~mark).sum())], pa.int64())], names=["n", "most", "rest"])
+
 
+def rounds_up_to(most: int) -> _Rounds:
+    """Rounds for longest matches in texts of so many words."""
+    long, n = [], 2 * SHORT[-1][-1]
+    while n <= most:
+        long.append(n)
+        n *= 2
+    return (*SHORT, *(x for x in (tuple(long[:3]), tuple(long[3:])) if x))
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference: Column | None = None, rounds: _Rounds = ROUNDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, n_words, n_phrases, n_own, ref_words, score of every row; ``reference`` marks the rows that are reference text (all)."""
-    lengths = [*chain.from_iterable(rounds)]
-    if not all(rounds) or not lengths or lengths != sorted(set(lengths)) or lengths[0] < 2 or len(lengths) >= _LIVE:
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference: Column | None = None, rounds: _Rounds | None = None, batch_bytes: int = BATCH_BYTES, split: int = SPLIT) -> DataFrame:
+    """doc_id, n_words, n_phrases, n_own, ref_words, score of every row; ``reference`` marks the rows that are reference text (all).
+
+    Phrases are longest matches, or those of the lengths in ``rounds``.
+    """
+    lengths = [*chain.from_iterable(SHORT if rounds is None else rounds)]
+    if not all(rounds or SHORT) or not lengths or lengths != sorted(set(lengths)) or lengths[0] < 2 or len(lengths) >= _MOST_LENGTHS or split < 2:
         raise ValueError("lengths ascend from 2 at least")
     spark = docs.sparkSession
     small_batches(spark)
@@ -394,15 +731,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refer
     kind = rows.schema["doc_id"].dataType.simpleString()
     fixed = materialize(rows, "texts", "zstd")  # files, so that batches are the same in every round
     n_ranges = max(shuffle_partitions(spark), size_in_bytes(fixed) // RANGE_BYTES)
-    total = fixed.where("mark").select("text").mapInArrow(trimmed(_count_words), "n long").agg(F.sum("n")).first()[0] or 0
+    total, most, rest = fixed.select("text", "mark").mapInArrow(trimmed(_count_words), "n long, most long, rest long").agg(F.sum("n"), F.max("most"), F.sum("rest")).first()
+    total, every = total or 0, not rest
     names = sorted(fixed.inputFiles())
     if not names:
         return fixed.select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("n_phrases", "long"), ("n_own", "long"), ("ref_words", "long"), ("score", "double"))))
     files = spark.createDataFrame([*enumerate(names)], "file int, uri string").repartitionById(len(names), "file")
+    sends, settled = [], 0
+    if rounds is None:
+        rounds = rounds_up_to(most or 0)
+        width = rounds[-1][-1]
+        while width > 1:
+            sends += [("want", settled), ("lengthen", settled)]
+            settled, width = settled + 1, max(1, -(-width // split))
     before = None
-    for k in range(len(rounds)):
-        sent = files.mapInArrow(_ask(k, rounds, n_ranges, before, batch_bytes), _SENT)
-        found = sent.repartitionById(n_ranges, "range").mapInArrow(trimmed(_meet), _SENT)
+    for what, k in [*(("ask", k) for k in range(len(rounds))), *sends]:
+        ask = _ask(k, rounds, n_ranges, before, batch_bytes) if what == "ask" else _settle(what, k, rounds, n_ranges, before, batch_bytes, split, every)
+        sent = files.mapInArrow(ask, _SENT)
+        found = sent.repartitionById(n_ranges, "range").mapInArrow(trimmed(_meet_wanted if what == "want" else _meet), _SENT)
         path = new_path(spark, "round")
         found.select("file", "batch", "part", "a").repartition(min(len(names), n_ranges), "file").write.partitionBy("file").parquet(path)
         if before:
@@ -410,4 +756,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refer
         before = path
         del sent, found
         collect_garbage(spark)
-    return files.mapInArrow(_factor(rounds, n_ranges, before, total, batch_bytes), f"doc_id {kind}, n_words long, n_phrases long, n_own long, ref_words long, score double")
+    return files.mapInArrow(_factor(rounds, settled, n_ranges, before, total, batch_bytes, split, every), f"doc_id {kind}, n_words long, n_phrases long, n_own long, ref_words long, score double")

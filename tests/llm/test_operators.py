@@ -201,6 +201,32 @@ def test_cross_parsing(spark, batch, marked):
             assert (r["score"] is None) == (not r["n_words"])
 
 
+@pytest.mark.parametrize("split", [2, 128])
+@pytest.mark.parametrize("batch", [4 << 20, 3000])
+@pytest.mark.parametrize("marked", [True, False])
+def test_cross_parsing_by_longest_matches(spark, batch, marked, split):
+    rng = random.Random(7)
+    say = lambda k: " ".join(rng.choices("abcdefgh", k=k))
+    pool = [say(k) for k in (9, 13, 30, 50, 70, 100, 150, 333)]
+    texts = [" ".join(rng.choice([say(rng.randint(1, 20)), *pool]) for _ in range(rng.randint(1, 4))) for _ in range(24)]
+    for k in range(8):  # passages that begin and end anywhere
+        words = texts[k].split() + texts[k + 8].split()
+        a, b = sorted(rng.sample(range(len(words) + 1), 2))
+        texts.append(" ".join(words[a:b]) + " " + say(3))
+    texts += [texts[0], "the house " * 60, "house " + "the house " * 45, "x y z", None, ""]
+    rows = [(i, t, i % 3 != 1) for i, t in enumerate(texts)]
+    mark = F.col("good") if marked else None
+    got = cross_parsing.score(table(spark, rows, "doc_id long, text string, good boolean"), reference=mark, batch_bytes=batch, split=split).collect()
+    words = [(t or "").split() for t in texts]
+    want = []
+    for i, w in enumerate(words):
+        others = [x for j, x in enumerate(words) if j != i and (rows[j][2] or not marked)]
+        number = {x: n for n, x in enumerate({x for o in others for x in o})}
+        n = cross_parsing.SuffixAutomaton([[number[x] for x in o] for o in others]).phrases([number.get(x, -(1 << 60)) for x in w])
+        want.append((i, len(w), n, sum(map(len, others))))
+    assert sorted((r["doc_id"], r["n_words"], r["n_phrases"], r["ref_words"]) for r in got) == want
+
+
 def test_cross_parsing_without_reference(spark):
     docs = table(spark, [(1, "a b a b"), (2, None), (3, "a b")], "doc_id long, text string")
     found = cross_parsing.score(docs, reference=F.lit(False)).collect()
