@@ -434,11 +434,14 @@ class Spans:
         step = self.step(split)
         return self.words + np.maximum(0, self.lo - self.words) // step * step
 
+    def most(self, end: np.ndarray) -> np.ndarray:
+        """The longest length that may be asked for, now or later."""
+        return np.minimum(np.minimum(self.hi, self.words + self.width - 1), end[self.at] - self.at)
+
     def longer(self, end: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
         """(span, words) of the lengths that are asked for next."""
         step, least = self.step(split), self.least(split)
-        most = np.minimum(np.minimum(self.hi, self.words + self.width - 1), end[self.at] - self.at)
-        n = np.maximum(0, (most - least) // step)
+        n = np.maximum(0, (self.most(end) - least) // step)
         span = np.repeat(np.arange(len(n)), n)
         return span, least[span] + (np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n) + 1) * step[span]
 
@@ -557,7 +560,17 @@ class Settling:
         hi = hi[run]
         if self.every:  # what is longer than any match is of no use to others
             hi = np.minimum(hi, self.ends()[1][members.at] - members.at)
-        self.members, self.held = members.within(lo[run], hi), None
+        self.members, self.held = self._distinct(members.within(lo[run], hi)), None
+
+    def _distinct(self, members: Spans) -> Spans:
+        """Of members that can offer the same runs alone those of two documents."""
+        most = members.most(self.text.end)
+        members, most = members.where(most >= members.lo), most[most >= members.lo]
+        h = self.text.runs(members.at, most) + W.mix(members.words.astype(np.uint64))
+        order = np.argsort(h, kind="stable")  # members of equal runs are of as many words, and so in the order of their places
+        new = np.ones(len(h) + 1, bool)
+        new[1:-1] = h[order][1:] != h[order][:-1]
+        return members.where(np.sort(order[new[:-1] | new[1:]]))
 
     def round(self, n_ranges: int) -> tuple[Round, Spans, np.ndarray, np.ndarray]:
         """(the lengthened runs, open spans and members, of which of these each run is, its words)."""
