@@ -66,12 +66,12 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and fixes its content."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     with _shuffles_removed(spark):
-        df.write.parquet(path, compression=compression)
+        df.write.options(**options).parquet(path, compression=compression)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[id(found)] = found, path
     return found

@@ -15,7 +15,8 @@ has it. Rounds ask for ever longer runs, of 2 to 8 words and then of twice as ma
 the longest text, from those words alone
 whose run of the round before another document had. In a round tasks send each batch's distinct hashes once,
 packed by hash range, with whether the batch offers them, asks for them or both; ranges
-return a bit for each that is asked for. What is moved grows as the corpus does.
+return a bit for each that is asked for. What is moved grows as the corpus does. Texts are
+split and hashed once; rounds read files of the batches' words.
 
 A phrase is the longest match (one word where none matches), so the factoring is that of
 the suffix automaton. The rounds leave it open where a match of more than 8 words ends, but
@@ -41,7 +42,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -128,17 +129,16 @@ def own_phrases(words: list[int]) -> int:
         return 0
     m = max(words) + 1
     seen: dict[int, int] = {}
-    node = n = 0
+    get = seen.get
+    node = last = 0  # nodes are numbered in steps of m
     for w in words:
-        k = node * m + w
-        to = seen.get(k)
-        if to is None:
-            n += 1
-            seen[k] = n
+        k = node + w
+        node = get(k)
+        if node is None:
+            last += m
+            seen[k] = last
             node = 0
-        else:
-            node = to
-    return n + (node > 0)
+    return last // m + (node > 0)
 
 
 def relative_entropy(words: int, phrases: int, own: int, reference: int) -> float | None:
@@ -151,29 +151,26 @@ def relative_entropy(words: int, phrases: int, own: int, reference: int) -> floa
 class _Text:
     """The words of some texts, with hashes of their runs."""
 
-    def __init__(self, texts: pa.Array):
-        data, offsets = W.string_buffers(texts)
-        words, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-        for lo, hi in W.chunks(offsets):
-            part = offsets[lo : hi + 1]
-            h, row, _, _ = W.split_words(data[part[0] : part[-1]], part - part[0], W.WHITESPACE)
-            words.append(h)
-            counts.append(np.bincount(row, minlength=hi - lo))
-        self.words, self.bounds = np.concatenate(words), np.cumsum(np.concatenate(counts))
-        self.size = np.diff(self.bounds)
-        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
-        up, self.down = W._power_tables(len(self.words) + 1)
-        self.sums = np.zeros(len(self.words) + 1, np.uint64)
-        np.cumsum(self.words * up[: len(self.words)], out=self.sums[1:])
+    def __init__(self, words: np.ndarray, code: np.ndarray, size: np.ndarray):
+        self.code = code  # words as places in a list of the distinct ones
+        self.words, self.size = words[code], size
+        self.bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        up, self.down = W._power_tables(len(code) + 1)
+        self.sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(self.words * up[: len(code)], out=self.sums[1:])
 
     def runs(self, at: np.ndarray, length: int) -> np.ndarray:
-        h = (self.sums[at + length] - self.sums[at]) * self.down[at]
-        return W.mix(h + np.asarray(length, np.uint64) * W._MULT)
+        h = self.sums[at + length]
+        h -= self.sums[at]
+        h *= self.down[at]
+        h += np.asarray(length, np.uint64) * W._MULT
+        return W.mix(h)
 
-    @property
+    @cached_property
     def end(self) -> np.ndarray:
         """Of every word, where its text ends."""
-        return self.bounds[1:][self.doc]
+        return np.repeat(self.bounds[1:], self.size)
 
 
 def _keys(h: np.ndarray, n_ranges: int) -> np.ndarray:
@@ -184,32 +181,63 @@ def _keys(h: np.ndarray, n_ranges: int) -> np.ndarray:
 
 def _cut(key: np.ndarray, n_ranges: int) -> list[np.ndarray]:
     """Sorted keys by range."""
-    cut = np.searchsorted(key >> _FORTY, np.arange(n_ranges + 1, dtype=np.uint64))
+    cut = np.append(np.searchsorted(key, np.arange(n_ranges, dtype=np.uint64) << _FORTY), len(key))
     return [key[a:b] for a, b in zip(cut, cut[1:])]
 
 
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable argsort and the sorted values: values that hold their places in the lowest bits are sorted, which is faster."""
+    bits = len(key).bit_length()
+    lost = max(0, int(key.max(initial=0)).bit_length() + bits - 64)
+    packed = key << np.uint64(bits) if not lost else key >> np.uint64(lost) << np.uint64(bits)
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << bits) - 1)).view(np.int64)
+    if not lost:
+        packed >>= np.uint64(bits)
+        return order, packed
+    there = key[order]
+    if (there[1:] < there[:-1]).any():  # keys that differ in the lost bits alone
+        order = np.argsort(key, kind="stable")
+        there = key[order]
+    return order, there
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, stable argsort, where each distinct key begins in it, which of them each key is)."""
+    order, there = _order(key)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = there[1:] != there[:-1]
+    begin = np.flatnonzero(fresh)
+    run = np.empty(len(key), np.int32)
+    run[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return there[begin], order, begin, run
+
+
 class Round:
     """What a batch knows of some runs by itself, and what it has to ask: those of ``length`` words from the places ``at`` on."""
 
-    def __init__(self, text: _Text, reference: np.ndarray, at: np.ndarray, length: np.ndarray, n_ranges: int):
+    def __init__(self, text: _Text, reference: np.ndarray, at: np.ndarray, length: np.ndarray, n_ranges: int, in_order: bool = False):
+        """``in_order``: for each length the places ascend."""
         self.at = at
-        key = _keys(text.runs(at, length), n_ranges)
-        order = np.argsort(key)
-        key, doc = key[order], text.doc[self.at][order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        begin = np.flatnonzero(fresh)
-        self.key = key[begin]
-        spread = lambda x, y: np.minimum.reduceat(x, begin) != np.maximum.reduceat(y, begin) if len(begin) else fresh
-        self.shared = spread(doc, doc)  # by several documents of the batch
-        some, none = reference[doc], np.int32(len(text.size))
-        self.holder = np.maximum.reduceat(np.where(some, doc, np.int32(-1)), begin) if len(begin) else begin
-        # reference documents of the batch, two for more
-        self.holders = np.where(self.holder < 0, 0, 1 + spread(np.where(some, doc, none), np.where(some, doc, np.int32(-1))))
-        self.run = np.empty(len(key), np.int32)
-        self.run[order] = np.cumsum(fresh) - 1
-        self.doc = text.doc[self.at]
-        self.reference = reference[self.doc]
+        self.key, order, begin, self.run = _grouped(_keys(text.runs(at, length), n_ranges))
+        of = lambda f, x: f.reduceat(x, begin) if len(begin) else begin
+        self.every = bool(reference.all())
+        if self.every and in_order:
+            first, last = (text.doc[at[order[x]]] for x in (begin, np.append(begin[1:], len(order))[: len(begin)] - 1))
+        else:
+            doc = text.doc[at[order]]
+            first, last = of(np.minimum, doc), of(np.maximum, doc)
+        self.shared = first != last  # by several documents of the batch
+        # holders: reference documents of the batch, two for more
+        if self.every:
+            self.holder, self.holders = last, 1 + self.shared.view(np.int8)
+        else:
+            some, none = reference[doc], np.int32(len(text.size))
+            self.holder = of(np.maximum, np.where(some, doc, np.int32(-1)))
+            self.holders = np.where(self.holder < 0, 0, 1 + (of(np.minimum, np.where(some, doc, none)) != self.holder))
+        self.doc = None if self.every else text.doc[self.at]
+        self.reference = None if self.every else reference[self.doc]
         self.asks = np.flatnonzero(self.holders < 2)
         self.n_ranges = n_ranges
 
@@ -237,6 +265,9 @@ class Round:
         elsewhere, held = np.zeros(len(self.key), bool), self.shared.copy()
         elsewhere[self.asks] = offered
         held[self.asks] |= present
+        if self.every:
+            found = (self.shared | elsewhere)[self.run]
+            return found, found if np.array_equal(offered, present) else held[self.run]
         here = (self.holders >= 2)[self.run] | ((self.holders == 1)[self.run] & (self.holder[self.run] != self.doc))
         found = here | elsewhere[self.run]
         return found, found | self.reference & held[self.run]
@@ -258,24 +289,62 @@ def _open(uri: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
 
 
-def _batches(uri: str, batch_bytes: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(ids, texts, marks) of a file's rows, cut alike each time."""
-    where, path = _open(uri)
-    held, size = [], 0
-    with where.open_input_file(path) as f:
-        for batch in parquet.ParquetFile(f).iter_batches(batch_size=256, use_threads=False):
-            held.append(batch)
-            size += batch.column(1).nbytes
-            if size >= batch_bytes:
-                yield _joined(held)
-                held, size = [], 0
-    if held:
-        yield _joined(held)
+def _planes(code: np.ndarray) -> bytes:
+    """32-bit values as their low halves, and their high ones where some aren't 0."""
+    high = (code >> 16).astype(np.uint16)
+    return code.astype(np.uint16).tobytes() + (high.tobytes() if high.any() else b"")
 
 
-def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    ids, text, mark = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
-    return ids, text, mark.to_numpy(zero_copy_only=False)
+def _from_planes(b: bytes, n: int) -> np.ndarray:
+    code = np.frombuffer(b, np.uint16, n).astype(np.int32)
+    return code | np.frombuffer(b, np.uint16, n, 2 * n).astype(np.int32) << 16 if len(b) > 2 * n else code
+
+
+def _hashed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A row for some (id, text, mark) rows: their words' hashes, each once, and all words as places among these."""
+    ids, texts, mark = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+    data, offsets = W.string_buffers(texts)
+    words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in W.chunks(offsets):
+        part = offsets[lo : hi + 1]
+        h, row, _, _ = W.split_words(data[part[0] : part[-1]], part - part[0], W.WHITESPACE)
+        words.append(h)
+        counts.append(np.bincount(row, minlength=hi - lo))
+    size, found = np.concatenate(counts), pa.array(np.concatenate(words)).dictionary_encode()
+    mark = mark.to_numpy(zero_copy_only=False)
+    cells = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+    cells += [pa.array([x], pa.binary()) for x in (mark.tobytes(), size.tobytes(), found.dictionary.to_numpy().tobytes(), _planes(found.indices.to_numpy()))]
+    cells += [pa.array([x], pa.int64()) for x in (int(size[mark].sum()), int(size.max(initial=0)), int((~mark).sum()))]
+    return pa.record_batch(cells, names=["ids", "mark", "size", "words", "code", "n", "most", "rest"])
+
+
+def _hash_words(batch_bytes: int):
+    """Batches of (id, text, mark) rows as a row each, with the words of reference rows, words of the longest text and how many rows aren't reference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                held.append(batch.slice(lo, 256))
+                size += held[-1].column(1).nbytes
+                if size >= batch_bytes:
+                    yield _hashed(held)
+                    held, size = [], 0
+        if held:
+            yield _hashed(held)
+
+    return trimmed(run)
+
+
+def _batches(uri: str, ids: bool = False) -> Iterator[tuple[pa.Array | None, _Text, np.ndarray]]:
+    """(ids where asked for, words, marks) of a file's batches."""
+    where, path = _open(uri)
+    with where.open_input_file(path) as f:
+        for row in parquet.ParquetFile(f).iter_batches(batch_size=1, columns=["mark", "size", "words", "code", *["ids"] * ids], use_threads=False):
+            mark, size, words, code = (row.column(c)[0].as_py() for c in ("mark", "size", "words", "code"))
+            size = np.frombuffer(size, np.int64)
+            text = _Text(np.frombuffer(words, np.uint64), _from_planes(code, int(size.sum())), size)
+            yield row.column("ids").flatten() if ids else None, text, np.frombuffer(mark, bool)
 
 
 def _answers(path: str, file: int) -> dict[int, dict[int, bytes]]:
@@ -296,19 +365,24 @@ _Rounds = tuple[tuple[int, ...], ...]
 
 def _places(text: _Text, live: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     """By length: the live words that have so many up to their text's end."""
-    left = (text.end - np.arange(len(live))) * live
-    return [np.flatnonzero(left >= n) for n in lengths]
+    at, each = np.flatnonzero(live), []
+    left = text.end[at] - at
+    for n in lengths:
+        at = at[left >= n]
+        left = left[left >= n]
+        each.append(at)
+    return each
 
 
 def _round(text: _Text, reference: np.ndarray, live: np.ndarray, lengths: tuple[int, ...], n_ranges: int) -> tuple[Round, list[int]]:
     """(all runs of some lengths from live words on, where each length begins in them)."""
     each = _places(text, live, lengths)
     sizes = [*map(len, each)]
-    return Round(text, reference, np.concatenate(each), np.repeat(np.array(lengths), sizes), n_ranges), np.cumsum([0, *sizes]).tolist()
+    return Round(text, reference, np.concatenate(each), np.repeat(np.array(lengths), sizes), n_ranges, in_order=True), np.cumsum([0, *sizes]).tolist()
 
 
 def _packed(level: np.ndarray, held: np.ndarray) -> bytes:
-    return level.tobytes() + (b"" if np.array_equal(level, held) else held.tobytes())
+    return level.tobytes() + (b"" if level is held or np.array_equal(level, held) else held.tobytes())
 
 
 def _unpacked(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,16 +396,23 @@ def _levels(text: _Text, reference: np.ndarray, k: int, rounds: _Rounds, n_range
     A run stays live if it is known, or is another document's and the reference's own, so that it may lead others on.
     """
     if k < 0:
-        return np.zeros(len(text.words), np.uint8), np.zeros(len(text.words), np.uint8)
-    level, held = (x.copy() for x in _unpacked(found[-1], len(text.words)))
+        none = np.zeros(len(text.words), np.uint8)
+        return none, none
+    level, held = _unpacked(found[-1], len(text.words))
     so_far = sum(map(len, rounds[:k]))
     r, ends = _round(text, reference, held == so_far, rounds[k], n_ranges)
     known, stays = r.answered(found)
-    for j, (a, b) in enumerate(zip(ends, ends[1:])):
-        for count, yes in ((level, known), (held, stays)):
+
+    def more(before: np.ndarray, yes: np.ndarray) -> np.ndarray:
+        count = before.copy()
+        for j, (a, b) in enumerate(zip(ends, ends[1:])):
             at = r.at[a:b][yes[a:b]]
             count[at[count[at] == so_far + j]] += 1
-    return level, held
+        return count
+
+    same = level is held and known is stays
+    level = more(level, known)
+    return level, level if same else more(held, stays)
 
 
 _SENT = "range int, file int, batch int, part int, a binary, b binary, c binary"
@@ -342,14 +423,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _TYPES)], names=[name for name, _ in _TYPES])
 
 
-def _ask(k: int, rounds: _Rounds, n_ranges: int, before: str | None, batch_bytes: int):
+def _ask(k: int, rounds: _Rounds, n_ranges: int, before: str | None):
     """Round k of (file, uri) rows: runs that a batch asks for (a), asks for and offers (b), offers (c), and its levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, uri in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
             found = _answers(before, file) if before else {}
-            for i, (_, texts, mark) in enumerate(_batches(uri, batch_bytes)):
-                text = _Text(texts)
+            for i, (_, text, mark) in enumerate(_batches(uri)):
                 level, held = _levels(text, mark, k - 1, rounds, n_ranges, found.get(i, {}))
                 r, _ = _round(text, mark, held == sum(map(len, rounds[:k])), rounds[k], n_ranges)
                 rows = [(i % n_ranges, file, i, -1, _packed(level, held), None, None), *r.sent(file, i)]
@@ -358,40 +438,33 @@ def _ask(k: int, rounds: _Rounds, n_ranges: int, before: str | None, batch_bytes
     return trimmed(run)
 
 
-def _times(values: np.ndarray, times: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often each key is among sorted values."""
-    if not len(values):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
-    return np.where(values[at] == keys, times[at], 0)
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one hash range: two bits for each run that a batch asks for, whether another batch offers it and whether one has it."""
-    rows, kept, asked, offered, held = [], [], [], [], []
+    rows, kept, sent = [], [], []
     for batch in batches:
         for r in batch.to_pylist():
             if r["part"] < 0:
                 rows.append((0, r["file"], r["batch"], r["part"], r["a"], None, None))
                 continue
-            a, b, c = (_join40(r[x]) for x in "abc")
             kept.append((r["file"], r["batch"], r["part"]))
-            asked.append((a, b))
-            offered += [b, c]
-            held.append(a)
+            sent.append([_join40(r[x]) for x in "abc"])
     if kept:
-        offer, times = np.unique(np.concatenate(offered), return_counts=True)
-        alike = not any(map(len, held))  # all that is held is offered
-        hold, every = (offer, times) if alike else np.unique(np.concatenate([*offered, *held]), return_counts=True)
-        for (file, number, part), (a, b) in zip(kept, asked):
-            keys, own = b, np.ones(len(b), bool)
+        asks = [x for a, b, _ in sent for x in (a, b)]
+        every = [*asks, *(c for *_, c in sent)]
+        is_a = np.repeat(np.arange(len(every)) % 2 == 0, [*map(len, every)])
+        is_a[sum(map(len, asks)) :] = False
+        keys, _, _, run = _grouped(np.concatenate(every))
+        held = np.bincount(run, minlength=len(keys))
+        offered = np.bincount(run[~is_a], minlength=len(keys)) if is_a.any() else held
+        at = 0
+        for (file, number, part), (a, b, _) in zip(kept, sent):
+            of, own = run[at : at + len(a) + len(b)], np.repeat([0, 1], [len(a), len(b)])
+            at += len(of)
             if len(a):
-                keys = np.concatenate([a, b])
-                order = np.argsort(keys, kind="stable")  # as the batch has them
-                keys, own = keys[order], order >= len(a)
-            if len(keys):
-                known = _times(offer, times, keys)
-                bits = np.concatenate([known > own, (known if alike else _times(hold, every, keys)) > 1])
+                order = np.argsort(of)  # as the batch has them
+                of, own = of[order], own[order]
+            if len(of):
+                bits = np.concatenate([offered[of] > own, held[of] > 1])
                 rows.append((0, file, number, part, np.packbits(bits).tobytes(), None, None))
     for lo in range(0, len(rows), 500):
         yield _rows(rows[lo : lo + 500])
@@ -450,7 +523,7 @@ def ends_of_matches(text: _Text, level: np.ndarray, lengths: list[int], spans: S
     """Where the longest match from each word on ends, at least and at most, given how many of the lengths are known, and spans."""
     at, end = np.arange(len(level)), text.end
     least, most = np.array([1, *lengths]), np.array([*(n - 1 for n in lengths), 1 << 40])
-    lo, hi = np.minimum(at + least[level], end), np.minimum(at + most[level], end)
+    lo, hi = np.minimum(least[level] + at, end), np.minimum(most[level] + at, end)
     np.maximum.at(lo, spans.at, spans.at + spans.words)
     np.minimum.at(hi, spans.at, spans.at + spans.words + spans.width - 1)
     # no match ends before one that begins further left; texts lie one after the other
@@ -464,26 +537,21 @@ def open_places(lo: np.ndarray, hi: np.ndarray, bounds: np.ndarray) -> np.ndarra
     unknown = np.concatenate([[0], np.cumsum(lo < hi)])
     out: list[int] = []
     for d in np.flatnonzero(unknown[bounds[1:]] > unknown[bounds[:-1]]).tolist():
-        a, b = int(bounds[d]), int(bounds[d + 1])
-        low, high = lo[a:b], hi[a:b]
-        to, most = low.tolist(), high.tolist()
-        todo, seen = [a], set()
-        while todo:
-            i = heappop(todo)
-            while i < b and i not in seen:
-                seen.add(i)
-                j = to[i - a]
-                if j < most[i - a]:
-                    out.append(i)
-                    part = slice(j - a, most[i - a] - a + 1)
-                    sure = low[part] == high[part]
-                    for x in (np.unique(low[part][sure]), np.flatnonzero(~sure) + j):
-                        for y in x.tolist():
-                            if y not in seen:
-                                heappush(todo, y)
-                    break
-                i = j
-    return np.unique(np.array(out, np.int64))
+        a = int(bounds[d])
+        n = int(np.searchsorted(unknown[a : int(bounds[d + 1]) + 1], unknown[bounds[d + 1]]))  # all that is open lies before
+        to, most = (lo[a : a + n] - a).tolist(), (hi[a : a + n] - a).tolist()
+        begins = bytearray(n)  # where phrases may begin
+        i, begins[0] = 0, 1
+        while i >= 0:
+            j, k = to[i], most[i]
+            if j < k:
+                out.append(a + i)
+                k = min(k + 1, n)
+                begins[j:k] = b"\1" * (k - j)
+            elif j < n:
+                begins[j] = 1
+            i = begins.find(1, i + 1)
+    return np.array(out, np.int64)
 
 
 class Settling:
@@ -491,6 +559,7 @@ class Settling:
 
     def __init__(self, text: _Text, mark: np.ndarray, lengths: list[int], split: int, every: bool):
         self.text, self.mark, self.lengths, self.split, self.every = text, mark, lengths, split, every
+        self.known: tuple[np.ndarray, np.ndarray] | None = None
 
     def begin(self, level: np.ndarray, held: np.ndarray) -> None:
         self.level = level
@@ -498,6 +567,8 @@ class Settling:
         at = open_places(*self.ends(), self.text.bounds)
         words = np.array([1, *self.lengths])[level[at]]
         self.asked, self.open = Spans(at, words, words), np.ones(len(at), bool)
+        self.known = None
+        self._note_ends()
         self._all_members(held)
 
     def _all_members(self, held: np.ndarray) -> None:
@@ -508,7 +579,14 @@ class Settling:
         self.held, self.members = held, Spans(np.concatenate(each), words, words)
 
     def ends(self) -> tuple[np.ndarray, np.ndarray]:
-        return ends_of_matches(self.text, self.level, self.lengths, self.asked)
+        if self.known is None:
+            self.known = ends_of_matches(self.text, self.level, self.lengths, self.asked)
+        return self.known
+
+    def _note_ends(self) -> None:
+        """Gives what was asked its least and most, from where it begins on."""
+        (lo, hi), at = self.ends(), self.asked.at
+        self.asked = self.asked.within(lo[at] - at, hi[at] - at)
 
     def state(self, file: int, batch: int, n_ranges: int) -> list[tuple]:
         """Members are given as levels before the first choice."""
@@ -526,17 +604,16 @@ class Settling:
 
     def asking(self) -> Spans:
         """The open spans."""
-        spans, (lo, hi) = self.asked.where(self.open), self.ends()
-        return spans.within(lo[spans.at] - spans.at, hi[spans.at] - spans.at)
+        return self.asked.where(self.open)
 
     def want(self, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
         """(the members' runs, the run of each member)."""
-        return np.unique(_short_keys(self.text.runs(self.members.at, self.members.words), n_ranges), return_inverse=True)
+        return _grouped(_short_keys(self.text.runs(self.members.at, self.members.words), n_ranges))[::3]
 
     def sent(self, file: int, batch: int, n_ranges: int) -> list[tuple]:
         """The members' runs (a), those that open spans begin with (b) and between which lengths these are open (c)."""
         asking = self.asking()
-        own, run = np.unique(_short_keys(self.text.runs(asking.at, asking.words), n_ranges), return_inverse=True)
+        own, run = _grouped(_short_keys(self.text.runs(asking.at, asking.words), n_ranges))[::3]
         between = _between(run, asking.lo, asking.hi, len(own))
         rows, at = [], 0
         for part, (a, b) in enumerate(zip(_cut(self.want(n_ranges)[0], n_ranges), _cut(own, n_ranges))):
@@ -567,7 +644,7 @@ class Settling:
         most = members.most(self.text.end)
         members, most = members.where(most >= members.lo), most[most >= members.lo]
         h = self.text.runs(members.at, most) + W.mix(members.words.astype(np.uint64))
-        order = np.argsort(h, kind="stable")  # members of equal runs are of as many words, and so in the order of their places
+        order, _ = _order(h)  # members of equal runs are of as many words, and so in the order of their places
         new = np.ones(len(h) + 1, bool)
         new[1:-1] = h[order][1:] != h[order][:-1]
         return members.where(np.sort(order[new[:-1] | new[1:]]))
@@ -589,10 +666,12 @@ class Settling:
         np.maximum.at(reached, span[known], words[known])
         self.asked.words[self.open] = reached[:n]
         self.asked.width[self.open] = np.minimum(step, over - reached)[:n]
+        self.known = None
         more = np.flatnonzero(stays & (span >= n) & (step[span] > 1))
         of = np.concatenate([rest, span[more]])
         longer = np.concatenate([longer, words[more]])
         self.members = Spans(both.at[of], longer, np.minimum(step[of], over[of] - longer))
+        self._note_ends()
         self.open = np.isin(self.asked.at, open_places(*self.ends(), self.text.bounds))
 
 
@@ -619,14 +698,14 @@ def _between(run: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndar
     return out
 
 
-def _settle(what: str, k: int, rounds: _Rounds, n_ranges: int, before: str, batch_bytes: int, split: int, every: bool):
+def _settle(what: str, k: int, rounds: _Rounds, n_ranges: int, before: str, split: int, every: bool):
     """Further rounds of (file, uri) rows: ``want`` sends the runs that spans begin with and that members have, ``lengthen`` their lengthened runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, uri in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
             found = _answers(before, file)
-            for i, (_, texts, mark) in enumerate(_batches(uri, batch_bytes)):
-                here = _settled(_Text(texts), mark, what, k, rounds, n_ranges, found.get(i, {}), split, every)
+            for i, (_, text, mark) in enumerate(_batches(uri)):
+                here = _settled(text, mark, what, k, rounds, n_ranges, found.get(i, {}), split, every)
                 rows = here.state(file, i, n_ranges)
                 if what == "want":
                     rows += here.sent(file, i, n_ranges)
@@ -674,7 +753,7 @@ def _meet_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCORE = [("n_words", pa.int64()), ("n_phrases", pa.int64()), ("n_own", pa.int64()), ("ref_words", pa.int64()), ("score", pa.float64())]
 
 
-def _factor(rounds: _Rounds, settled: int, n_ranges: int, before: str, total: int, batch_bytes: int, split: int, every: bool):
+def _factor(rounds: _Rounds, settled: int, n_ranges: int, before: str, total: int, split: int, every: bool):
     """Scores, after ``settled`` times of lengthening; without it phrases have the lengths of the rounds."""
     step_of = np.array([1, *chain.from_iterable(rounds)])
 
@@ -689,8 +768,7 @@ def _factor(rounds: _Rounds, settled: int, n_ranges: int, before: str, total: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, uri in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
             found = _answers(before, file)
-            for i, (ids, texts, mark) in enumerate(_batches(uri, batch_bytes)):
-                text = _Text(texts)
+            for i, (ids, text, mark) in enumerate(_batches(uri, ids=True)):
                 step = steps(text, mark, found.get(i, {}))
                 rows, at = [], text.bounds.tolist()
                 for d, (a, b) in enumerate(zip(at, at[1:])):
@@ -698,8 +776,7 @@ def _factor(rounds: _Rounds, settled: int, n_ranges: int, before: str, total: in
                     while j < b - a:
                         j += own_step[j]
                         phrases += 1
-                    _, small = np.unique(text.words[a:b], return_inverse=True)
-                    own = own_phrases(small.tolist())
+                    own = own_phrases(text.code[a:b].tolist())
                     reference = total - (b - a if mark[d] else 0)
                     rows.append((b - a, phrases, own, reference, relative_entropy(b - a, phrases, own, reference)))
                 yield pa.record_batch([ids, *(pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(_SCORE))], names=["doc_id", *(n for n, _ in _SCORE)])
@@ -707,19 +784,6 @@ def _factor(rounds: _Rounds, settled: int, n_ranges: int, before: str, total: in
     return trimmed(run)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(words of reference rows, words of the longest text, how many rows aren't reference) of batches."""
-    for batch in batches:
-        data, offsets = W.string_buffers(batch.column(0))
-        mark = batch.column(1).to_numpy(zero_copy_only=False)
-        n = most = 0
-        for lo, hi in W.chunks(offsets):
-            row = W.split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], W.WHITESPACE)[1]
-            each = np.bincount(row, minlength=hi - lo)
-            n, most = n + int(each[mark[lo:hi]].sum()), max(most, int(each.max(initial=0)))
-        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([most], pa.int64()), pa.array([int((~mark).sum())], pa.int64())], names=["n", "most", "rest"])
-
-
 def rounds_up_to(most: int) -> _Rounds:
     """Rounds for longest matches in texts of so many words."""
     long, n = [], 2 * SHORT[-1][-1]
@@ -742,13 +806,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refer
     mark = F.coalesce(reference, F.lit(False)) if reference is not None else F.lit(True)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    fixed = materialize(rows, "texts", "zstd")  # files, so that batches are the same in every round
+    words = rows.mapInArrow(_hash_words(batch_bytes), f"ids array<{kind}>, mark binary, size binary, words binary, code binary, n long, most long, rest long")
+    # files, so that batches are the same in every round; a row is as large as a batch
+    fixed = materialize(words, "words", "zstd", **{"parquet.page.size.row.check.min": "1"})
     n_ranges = max(shuffle_partitions(spark), size_in_bytes(fixed) // RANGE_BYTES)
-    total, most, rest = fixed.select("text", "mark").mapInArrow(trimmed(_count_words), "n long, most long, rest long").agg(F.sum("n"), F.max("most"), F.sum("rest")).first()
+    total, most, rest = fixed.agg(F.sum("n"), F.max("most"), F.sum("rest")).first()
     total, every = total or 0, not rest
     names = sorted(fixed.inputFiles())
     if not names:
-        return fixed.select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("n_phrases", "long"), ("n_own", "long"), ("ref_words", "long"), ("score", "double"))))
+        return rows.select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("n_phrases", "long"), ("n_own", "long"), ("ref_words", "long"), ("score", "double"))))
     files = spark.createDataFrame([*enumerate(names)], "file int, uri string").repartitionById(len(names), "file")
     sends, settled = [], 0
     if rounds is None:
@@ -759,7 +825,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refer
             settled, width = settled + 1, max(1, -(-width // split))
     before = None
     for what, k in [*(("ask", k) for k in range(len(rounds))), *sends]:
-        ask = _ask(k, rounds, n_ranges, before, batch_bytes) if what == "ask" else _settle(what, k, rounds, n_ranges, before, batch_bytes, split, every)
+        ask = _ask(k, rounds, n_ranges, before) if what == "ask" else _settle(what, k, rounds, n_ranges, before, split, every)
         sent = files.mapInArrow(ask, _SENT)
         found = sent.repartitionById(n_ranges, "range").mapInArrow(trimmed(_meet_wanted if what == "want" else _meet), _SENT)
         path = new_path(spark, "round")
@@ -769,4 +835,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refer
         before = path
         del sent, found
         collect_garbage(spark)
-    return files.mapInArrow(_factor(rounds, settled, n_ranges, before, total, batch_bytes, split, every), f"doc_id {kind}, n_words long, n_phrases long, n_own long, ref_words long, score double")
+    return files.mapInArrow(_factor(rounds, settled, n_ranges, before, total, split, every), f"doc_id {kind}, n_words long, n_phrases long, n_own long, ref_words long, score double")

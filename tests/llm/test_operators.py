@@ -10,7 +10,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import parquet as pq
 from pyspark.sql import functions as F
 
 from fernglass.llm import _store, bpe, cross_parsing, decontam, embedding_dedup, language_id, line_dedup, ngram_join, queries, token_count, url_filter, warc
@@ -227,6 +229,45 @@ def test_cross_parsing_by_longest_matches(spark, batch, marked, split):
     assert sorted((r["doc_id"], r["n_words"], r["n_phrases"], r["ref_words"]) for r in got) == want
 
 
+def test_cross_parsing_splits_texts_once(tmp_path, monkeypatch):
+    texts = ["a b A  c", None, "é b", "", "x " * 300, "a b c"]
+    rows = pa.record_batch([pa.array(range(6)), pa.array(texts), pa.array([True, False, True, True, False, True])], names=["doc_id", "text", "mark"])
+    found = list(cross_parsing._hash_words(1 << 20)(iter([rows.slice(0, 2), rows.slice(2)])))
+    assert [b.column(c)[0].as_py() for b in found for c in ("n", "most", "rest")] == [9, 300, 2]
+    pq.write_table(pa.Table.from_batches(found), f"{tmp_path}/words.parquet")
+
+    def again(*_):
+        raise AssertionError("texts are split again")
+
+    monkeypatch.setattr(cross_parsing.W, "split_words", again)
+    uri = f"file://{tmp_path}/words.parquet"
+    [(ids, text, mark)] = cross_parsing._batches(uri, ids=True)
+    assert ids.to_pylist() == [*range(6)] and text.size.tolist() == [4, 0, 2, 0, 300, 3] and mark.tolist() == rows.column(2).to_pylist()
+    a, b, a2, c, _, b2, *_, a3, b3, c3 = text.words.tolist()
+    assert (a, b, c) == (a2, b2, c3) == (a3, b3, c) and len({*text.words.tolist()}) == 5
+    sent = [*cross_parsing._ask(0, ((2,),), 3, None)(iter([pa.record_batch([pa.array([0], pa.int32()), pa.array([uri])], names=["file", "uri"])]))]
+    assert sum(len(x or b"") // 5 for b in sent for x, part in zip(b.column("c").to_pylist(), b.column("part").to_pylist()) if part >= 0) == 1  # "a b", of two reference texts
+
+
+def test_cross_parsing_orders_and_walks():
+    rng = np.random.default_rng(3)
+    for top in (1, 5, 1 << 20, (1 << 64) - 1):
+        key = rng.integers(0, top, 3000, dtype=np.uint64, endpoint=True)
+        for k in (key, key[:0], key[:1], np.concatenate([key | np.uint64(1), key])):  # of the last some differ in the lowest bit
+            assert [x.tolist() for x in cross_parsing._order(k)] == [np.argsort(k, kind="stable").tolist(), sorted(k.tolist())]
+    for _ in range(200):
+        bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 30, 4))])
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        lo = np.minimum(np.maximum.accumulate(np.arange(len(end)) + rng.integers(1, 9, len(end))), end)
+        hi = np.minimum(np.maximum.accumulate(lo + rng.integers(0, 9, len(end)) * (rng.random(len(end)) < 0.2)), end)
+        begins, want = {*bounds[:-1].tolist()}, []
+        for i in range(len(end)):
+            if i in begins:
+                begins |= {j for j in range(lo[i], hi[i] + 1) if j < end[i]}
+                want += [i] * bool(lo[i] < hi[i])
+        assert cross_parsing.open_places(lo, hi, bounds).tolist() == want
+
+
 def test_cross_parsing_without_reference(spark):
     docs = table(spark, [(1, "a b a b"), (2, None), (3, "a b")], "doc_id long, text string")
     found = cross_parsing.score(docs, reference=F.lit(False)).collect()
